@@ -15,14 +15,14 @@ def snapshot_range(spark, sf_dir):
     log = model.event_log(spark, sf_dir)
     at = log.agg((F.floor(F.max("seq") / 2)).cast("long").alias("at"))
     seen = log.crossJoin(F.broadcast(at)).filter("seq <= at").drop("at")
-    return versions.scan(seen, "u000020", "u000090")
+    return versions.scan(seen, "u000003", "u000090")
 
 
 QUERIES = {"snapshot_range": snapshot_range}
 
 ORACLE = {
     "snapshot_range": f"""WITH {M1}, s AS (SELECT * FROM m1 WHERE seq <= (SELECT max(seq) // 2 FROM m1)
-        AND key >= 'u000020' AND key < 'u000090'),
+        AND key >= 'u000003' AND key < 'u000090'),
         n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC, tombstone DESC) = 1)
         SELECT key, value, seq FROM n WHERE NOT tombstone ORDER BY key""",
 }
