@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidelog.llm import exact_dedup, sharding
+from tidelog.llm import exact_dedup, packing, piece_codec, sharding, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_sharding": sharding.op4_sharding,
+    "op5_piece_codec": piece_codec.op5_piece_codec,
+    "op6_packing": packing.op6_packing,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_url_filter": url_filter.SQL,
 }
