@@ -132,7 +132,7 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
     if not len(h):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
     acc = h.copy()
-    for j in range(1, width):
+    for j in range(1, min(width, len(h))):
         acc[: len(h) - j] = acc[: len(h) - j] * _STEP + h[j:]
     doc = np.repeat(np.arange(len(texts)), n)
     full = np.arange(len(h)) + width <= at[1:][doc]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidelog.llm import exact_dedup, packing, piece_codec, sharding, url_filter
+from tidelog.llm import exact_dedup, fingerprints, html_text, language_id, packing, piece_codec, sharding, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sharding": sharding.op4_sharding,
     "op5_piece_codec": piece_codec.op5_piece_codec,
     "op6_packing": packing.op6_packing,
+    "op8_html_text": html_text.op8_html_text,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE = {
