@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.session import ship
+
 MUTATION = T.StructType([
     T.StructField("key", T.BinaryType(), False),
     T.StructField("value", T.BinaryType(), True),
@@ -36,7 +38,7 @@ CDC_EVENT = T.StructType([
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
