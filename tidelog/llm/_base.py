@@ -7,6 +7,7 @@ folder that driver and executors share), so a lost executor never loses them.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.session import ship
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -57,6 +60,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now rather than when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -96,7 +96,7 @@ class PieceCodec:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[key] = self.merged(a + b) == [a, b]
         return known

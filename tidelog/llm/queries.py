@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import exact_dedup, fingerprints, html_text, language_id, packing, piece_codec, sharding, url_filter
+from tidelog.llm import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, piece_codec, sharding, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_piece_codec": piece_codec.op5_piece_codec,
     "op6_packing": packing.op6_packing,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
 }
