@@ -10,37 +10,24 @@ import numpy as np
 
 #: Characters at which str.split and the tokenizer's white space may differ, and others that must not be lower-cased alone.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿Σİ<]")
-MAX_WORDS = 500_000
+GENERATION = 80_000
 
 
-class _Parts(dict):
-    """Ids of a part of a word, merged on first use."""
+class _Cache(dict):
+    """Values by key, made on first use. Two generations are kept, so frequent keys stay and memory is bounded."""
 
-    def __init__(self, bpe):
-        self.merge = bpe.tokenize
-        self.alphabet = _alphabet()
-
-    def __missing__(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
-        self[part] = out = b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
-        return out
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
-
-class _Words(dict):
-    """Ids of a word: of its parts by the tokenizer's pattern, in turn."""
-
-    def __init__(self, parts: _Parts, pattern):
-        self.parts, self.split = parts, pattern.findall
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            out = self.parts[word]
-        elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-            out = self.parts[word[:-1]] + self.parts[word[-1]]
-        else:
-            out = b"".join([self.parts[p] for p in self.split(word)])
-        self[word] = out
-        return out
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= GENERATION:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -58,19 +45,27 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self._empty()
+            self.split = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.alphabet = _alphabet()
+        self.merge = self.whole.model.tokenize
+        self.parts = _Cache(self._part)
+        self.words = _Cache(self._word)
 
-    def _empty(self) -> None:
-        self.parts = _Parts(self.whole.model)
-        self.words = _Words(self.parts, self.pattern)
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.parts[word]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self.parts[word[:-1]] + self.parts[word[-1]]
+        return b"".join([self.parts[p] for p in self.split(word)])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         if ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.words) > MAX_WORDS:
-            self._empty()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
