@@ -166,7 +166,11 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
+    """The documents that are not rejected, with their columns.
+
+    A text without a letter, a null and an empty one are rejected, and any
+    whose nearest centroid lies beyond ``reject``; all others stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, piece_codec, sharding, url_filter
+from tidelog.llm import exact_dedup, fingerprints, html_text, language_id, near_dedup, packing, piece_codec, repeats, sharding, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE = {
