@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,3 +37,34 @@ def local(cores: str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     return ship(spark)
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all machines share, ``spark.checkpoint.dir``; it is removed at exit."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tidelog-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clean)
+    _MADE.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            fs, at = filesystem(spark, path)
+            fs.delete(at, True)
+        except Exception:  # the JVM may be gone at exit; the folder is temporary
+            return
