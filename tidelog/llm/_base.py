@@ -6,52 +6,18 @@ folder that driver and executors share), so a lost executor never loses them.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.session import ship
-
-_MADE: list[tuple[SparkSession, str]] = []
-
+from tidelog.session import scratch, ship
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared checkpoint folder; it is removed at exit."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_clean)
-    _MADE.append((spark, path))
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table whose rows are no longer needed."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clean() -> None:
-    for spark, path in _MADE:
-        try:
-            drop(spark, path)
-        except Exception:  # the JVM may be gone at exit; the folder is temporary
-            return
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared scratch table and read it back (cuts lineage)."""
     spark = df.sparkSession
