@@ -62,13 +62,12 @@ def level_state(meta: DataFrame) -> DataFrame:
 
 
 def overlaps(a: str, b: str) -> Column:
-    """Closed key ranges of two aliased runs meet; an open bound meets all."""
-    def bound(x: str) -> Column:
-        return F.col(x).isNull() | (F.length(F.col(x)) == 0)
-
-    left = bound(f"{a}.min_key") | bound(f"{b}.max_key") | (F.col(f"{a}.min_key") <= F.col(f"{b}.max_key"))
-    right = bound(f"{b}.min_key") | bound(f"{a}.max_key") | (F.col(f"{b}.min_key") <= F.col(f"{a}.max_key"))
-    return left & right
+    """Closed key ranges of two aliased runs meet; a run with an open bound meets all."""
+    bounds = [F.col(f"{x}.{c}") for x in (a, b) for c in ("min_key", "max_key")]
+    unbounded = F.lit(False)
+    for c in bounds:
+        unbounded = unbounded | c.isNull() | (F.length(c) == 0)
+    return unbounded | ((bounds[0] <= bounds[3]) & (bounds[2] <= bounds[1]))
 
 
 @dataclass
@@ -91,7 +90,9 @@ class Plan:
 
 
 def meets(a: Run, b: Run) -> bool:
-    return (not a.min_key or not b.max_key or a.min_key <= b.max_key) and (not b.min_key or not a.max_key or b.min_key <= a.max_key)
+    if not all((a.min_key, a.max_key, b.min_key, b.max_key)):
+        return True
+    return a.min_key <= b.max_key and b.min_key <= a.max_key
 
 
 def plan(runs: list[Run], l0_threshold: int, base_bytes: int, multiplier: int = defaults.LEVEL_MULTIPLIER) -> Plan | None:
