@@ -18,7 +18,7 @@ K = 64  # values of one hash function that a sketch retains
 #: probability 0.75, fewer than 28 do with probability 1e-8.
 SHARED = 28
 FEW = 8  # members of an inverted list that a plain join may pair
-BLOCK = 500  # members of a longer list that are compared with each other in one piece
+BLOCK = 1500  # members of a longer list that are compared with each other in one piece
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -170,8 +170,9 @@ def _block_links(pdf):
     n, comp, block = np.array([len(x) for x in sets]), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
     has = _matrix([x[:K] for x in sets])
     shared = has @ has.T
-    need = np.where((n[:, None] > K) | (n[None, :] > K), SHARED, 0.42 * (n[:, None] + n[None, :]))
-    ok = np.triu(shared >= need, 1) & (comp[:, None] != comp[None, :]) & (4 * np.minimum(n[:, None], n[None, :]) >= 3 * np.maximum(n[:, None], n[None, :]))
+    size = n.astype(np.float32)
+    need = np.where((n[:, None] > K) | (n[None, :] > K), np.float32(SHARED), np.float32(0.42) * (size[:, None] + size[None, :]))
+    ok = np.triu(shared >= need, 1) & (comp[:, None] != comp[None, :]) & (4 * np.minimum(size[:, None], size[None, :]) >= 3 * np.maximum(size[:, None], size[None, :]))
     if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
         ok &= block[:, None] != block[None, :]
     left, right = np.nonzero(ok)
