@@ -19,6 +19,19 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _round(left: bool, a: int, b: int, key: int):
+    """One round as a function of the halves (it may take one argument only, or Spark would pass an index too)."""
+
+    def step(s: Column) -> Column:
+        if left:
+            moved = F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], F.lit(key)), F.lit(a)), F.lit(a))
+            return F.struct(moved.alias("l"), s["r"].alias("r"))
+        moved = F.pmod(s["r"] + F.pmod(F.xxhash64(s["l"], F.lit(key)), F.lit(b)), F.lit(b))
+        return F.struct(s["l"].alias("l"), moved.alias("r"))
+
+    return step
+
+
 def feistel(x: Column, n: int, seed: int) -> Column:
     """One pass of the network over 0 .. a*b-1, a permutation of that range.
 
@@ -28,14 +41,8 @@ def feistel(x: Column, n: int, seed: int) -> Column:
     a, b = sides(n)
     halves = F.struct((x % a).alias("l"), ((x - x % a) / a).cast("long").alias("r"))  # exact below 2**53 rows
     for i in range(ROUNDS):
-        key = seed * ROUNDS + i
         # a one-element array lets the next round use the halves without repeating their expression
-        halves = F.transform(
-            F.array(halves),
-            (lambda s, key=key: F.struct(F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], F.lit(key)), F.lit(a)), F.lit(a)).alias("l"), s["r"].alias("r")))
-            if i % 2 == 0
-            else (lambda s, key=key: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(s["l"], F.lit(key)), F.lit(b)), F.lit(b)).alias("r"))),
-        )[0]
+        halves = F.transform(F.array(halves), _round(i % 2 == 0, a, b, seed * ROUNDS + i))[0]
     return F.transform(F.array(halves), lambda s: s["l"] + s["r"] * F.lit(a))[0]
 
 
