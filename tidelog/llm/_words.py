@@ -52,7 +52,7 @@ class WordEncoder:
         self.words = _Cache(self._word)
 
     def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+        shown = part if part.isascii() and part.isprintable() else "".join(map(self.alphabet.__getitem__, part.encode()))
         return b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
 
     def _word(self, word: str) -> bytes:
