@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.llm._base import materialize, read, text_of
 
 CAPACITY = 2048
-SMALLEST = 16
+SMALLEST = 1
 END_ID = 1
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
@@ -29,7 +29,8 @@ def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int
 
     Whole sequences first, then halves, quarters and so on down to
     ``smallest``, each at most once, then the rest: so each length belongs to
-    one reciprocal class, that of capacity // length pieces a sequence.
+    one reciprocal class, that of capacity // length pieces a sequence. Where
+    the capacity is a power of two the pieces of a class fill their sequences.
     """
     out = [capacity] * (n // capacity)
     rest, size = n % capacity, capacity // 2
@@ -84,22 +85,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Pieces of one length make up a class; a sequence takes capacity // length
     of them, so tasks fill their share knowing only how many pieces of the
     class came before theirs. Those counts have one row per task and length.
-    The last sequence of each class may hold fewer.
+    What is left of each class, less than one sequence, is laid out by falling
+    length: for a power of two as capacity, whose classes divide each other,
+    in common sequences without gaps, so that only the last of all is padded;
+    else in a sequence of its own.
     """
     placed = materialize(pieces, "pieces")
     counts = placed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     each = F.greatest(F.floor(F.lit(capacity) / F.col("length")), F.lit(1)).cast("long")
-    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).withColumn("bins", F.ceil(F.col("n") / each).cast("long"))
-    first = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = lengths.select("length", F.coalesce(F.sum("bins").over(first), F.lit(0)).alias("first"))
-    at = counts.join(F.broadcast(lengths), "length").select("part", "length", "before", "first")  # at most capacity lengths
+    whole = (F.col("n") - F.col("n") % each) / each
+    larger = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).withColumn("whole", whole.cast("long")).withColumn("rest", F.col("n") % each)
+    share = F.col("rest") * F.col("length") if capacity & (capacity - 1) == 0 else (F.col("rest") > 0).cast("long") * capacity
+    lengths = lengths.select(
+        "length", "whole", F.coalesce(F.sum("whole").over(larger), F.lit(0)).alias("first"),
+        F.sum("whole").over(Window.partitionBy()).alias("wholes"), F.coalesce(F.sum(share).over(larger), F.lit(0)).alias("used"),
+    )
+    at = counts.join(F.broadcast(lengths), "length").drop("n")  # at most capacity lengths
     place = F.col("before") + F.col("nth")
+    left = place - F.col("whole") * each  # from 0 among what is left of the class; negative in whole sequences
+    tokens = F.col("used") + left * F.col("length")
+    in_whole = left < 0
     return placed.join(at, ["part", "length"]).select(
         *[c for c in placed.columns if c not in ("part", "nth")],
-        (F.col("first") + ((place - place % each) / each).cast("long")).alias("sequence_id"),
-        (place % each * F.col("length")).cast("long").alias("offset"),
+        F.when(in_whole, F.col("first") + (place - place % each) / each).otherwise(F.col("wholes") + (tokens - tokens % capacity) / capacity).cast("long").alias("sequence_id"),
+        F.when(in_whole, place % each * F.col("length")).otherwise(tokens % capacity).cast("long").alias("offset"),
     )
 
 
