@@ -52,14 +52,14 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """
     best = F.max_by if keep == "largest" else F.min_by
     rest = [c for c in docs.columns if c != "text"]
-    row = F.struct(F.col("text").isNull().alias("_null"), *rest)
+    row = F.struct(F.col("text").isNull().alias("__null"), *rest)
     kept = (
         docs.select(content_hash(F.coalesce("text", F.lit(""))).alias("_h"), F.coalesce("text", F.lit("")).alias("_text"), row.alias("_row"), F.col("doc_id").alias("_id"))
         .groupBy("_h", "_text")
         .agg(best("_row", "_id").alias("_best"), F.first("_row").alias("_any"))
         .withColumn("_row", F.coalesce("_best", "_any"))  # where no doc_id is known, any row stays
     )
-    return kept.select(*[F.when(~F.col("_row._null"), F.col("_text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.when(~F.col("_row.__null"), F.col("_text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,8 +300,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Where several rows carry that doc_id all of them stay.
     """
-    gone = near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

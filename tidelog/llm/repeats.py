@@ -269,7 +269,7 @@ def _anchor_blobs(buckets: int, length: int):
 
     def run(batches):
         for b in batches:
-            docs, ties, texts = b.column("_id").to_numpy(), b.column("_tie").to_numpy(), binary_texts(b.column("text"))
+            docs, ties, texts = b.column("__id").to_numpy(), b.column("__tie").to_numpy(), binary_texts(b.column("text"))
             for i, j in slices(texts, 8 << 20):
                 rows = _Rows()
                 _, _, doc, h, *_ = anchors(texts[i:j], length)
@@ -332,8 +332,8 @@ def _snippet_blobs(buckets: int, length: int):
         import zstandard
 
         for b in batches:
-            docs, ties = b.column("_id").to_numpy(), b.column("_tie").to_numpy()
-            texts, flags = binary_texts(b.column("text")), b.column("flags").to_pylist()
+            docs, ties = b.column("__id").to_numpy(), b.column("__tie").to_numpy()
+            texts, flags = binary_texts(b.column("text")), b.column("__flags").to_pylist()
             for i, j in slices(texts, 8 << 20):
                 rows = _Rows()
                 data, starts, doc, h, at, first, last, whole = anchors(texts[i:j], length)
@@ -485,22 +485,22 @@ def _merge(blobs: list[bytes] | None) -> np.ndarray:
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with its rows' place in the order of doc_id and a hash that tells apart rows of one doc_id."""
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE))
-    return docs.withColumn("_id", place).withColumn("_tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("__id", place).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """_id, _tie, spans: for each document with repeats blobs of (begin, end) byte ranges to remove, to be merged.
+    """__id, __tie, __spans: for each document with repeats blobs of (begin, end) byte ranges to remove, to be merged.
 
     ``base`` is from ``keyed``. The one wide exchange is that of its rows by
-    (_id, _tie), which a join of the result with ``base`` uses again; the rest
+    (__id, __tie), which a join of the result with ``base`` uses again; the rest
     are compressed blobs of hashes and of snippets.
     """
     buckets = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = base.select("_id", "_tie", "text").mapInArrow(_anchor_blobs(buckets, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors, BLOB)
-    flags = told.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list("blob").alias("flags"))
-    marked = base.join(flags, ["_id", "_tie"])
+    told = base.select("__id", "__tie", "text").mapInArrow(_anchor_blobs(buckets, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors, BLOB)
+    flags = told.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list("blob").alias("__flags"))
+    marked = base.join(flags, ["__id", "__tie"])
     solved = marked.mapInArrow(_snippet_blobs(buckets, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(length), BLOB)
-    return solved.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list("blob").alias("spans"))
+    return solved.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list("blob").alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -516,9 +516,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     all others. Very long texts are read whole; an empty table gives no rows.
     """
     base, names = keyed(docs), docs.columns
-    joined = base.join(repeat_spans(base, length), ["_id", "_tie"], "left").select(*[F.col(f"`{c}`") for c in names], "spans")
+    joined = base.join(repeat_spans(base, length), ["__id", "__tie"], "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
     at = names.index("text")
-    schema = [f for f in joined.schema.fields if f.name != "spans"]
+    schema = [f for f in joined.schema.fields if f.name != "__spans"]
 
     def run(batches):
         for b in batches:
@@ -546,7 +546,7 @@ def _keep(text: bytes, cut: np.ndarray) -> bytes:
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    joined = base.join(repeat_spans(base, length), ["_id", "_tie"], "left").select("doc_id", "text", "spans")
+    joined = base.join(repeat_spans(base, length), ["__id", "__tie"], "left").select("doc_id", "text", "__spans")
 
     def run(batches):
         for b in batches:
