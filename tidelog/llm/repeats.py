@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._base import BYTE_CODE, binary_texts, mix, powers, read, slices
+from tidelog.llm._base import BYTE_CODE, binary_texts, labels, mix, powers, read, slices
 
 LENGTH = 50
 GRAM = 20
-CHUNK = 1 << 20  # bytes of snippets in one transform
+CHUNK = 1 << 19  # bytes of snippets in one transform
+SEGMENT = 1 << 17  # bytes of text whose windows are looked at together
 LATE = 2**63 - 1  # the place of a null doc_id: after all others
 
 BLOB = "bucket int, kind int, doc_id long, tie long, blob binary"
@@ -156,33 +157,47 @@ def repeated(snippets: list[bytes], docs: np.ndarray, length: int = LENGTH) -> l
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Anchors of a run of texts: (doc, hash, place, first window, last window, hash of all their bytes).
+    """Anchors of a run of texts: (doc, 48 bits of hash, place, first window, last window, hash of all their bytes).
 
     Places count from the start of the joined texts, which is returned with
     each text's own start. A window's anchor is its leftmost gram of smallest
-    hash; windows in a row with one anchor are one entry.
+    hash; windows in a row with one anchor are one entry. The texts are worked
+    through in segments, as each byte needs some hundred bytes meanwhile.
     """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     starts = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-    none = np.empty(0, dtype=np.int64)
-    if len(data) < length:
+    parts = [x for at in range(0, max(1, len(data) - length + 1), SEGMENT) if (x := _segment(data[at : at + SEGMENT + length - 1], at, starts, length, gram)) is not None]
+    if not parts:
+        none = np.empty(0, dtype=np.int64)
         return data, starts, none, none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+    return data, starts, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segment(data: np.ndarray, at: int, starts: np.ndarray, length: int, gram: int):
+    """The anchors of the windows that lie in one segment of the joined texts, which begins at ``at``."""
+    if len(data) < length:
+        return None
     inverse = powers(len(data), inverse=True)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODE[data] * powers(len(data)), out=sums[1:])
     h = mix((sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1])
     least = _leftmost_least(h, length - gram + 1)
-    window = np.arange(len(least))
-    doc = np.repeat(np.arange(len(texts)), np.diff(starts))[: len(least)]
-    inside = window + length <= starts[1:][doc]
-    window, least, doc = window[inside], least[inside], doc[inside]
+    window = np.arange(len(least), dtype=np.int64)
+    a, b = np.searchsorted(starts, [at, at + len(window) - 1], side="right") - 1
+    cut = np.minimum(np.maximum(starts[a : b + 2] - at, 0), len(window))
+    doc = np.repeat(np.arange(a, b + 1), np.diff(cut))
+    inside = np.ones(len(window), dtype=bool)
+    for e in (starts[a + 1 : b + 2] - at).tolist():  # windows that begin in a text's last bytes would leave it
+        inside[max(0, e - length + 1) : max(0, e)] = False
+    if not inside.all():
+        window, least, doc = window[inside], least[inside], doc[inside]
     if not len(window):
-        return data, starts, none, none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+        return None
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))))
     first, last = window[new], window[np.concatenate((new[1:], [len(window)])) - 1]
-    at = least[new]
-    whole = mix((sums[last + length] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return data, starts, doc[new], h[at], at, first, last, whole
+    place = least[new]
+    whole = mix((sums[last + length] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return doc[new], h[place] >> np.uint64(16), place + at, first + at, last + at, whole
 
 
 def _leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
@@ -200,24 +215,24 @@ def _leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: values are split into planes, which compress well where high bytes repeat."""
+def _pack(*arrays: tuple[np.ndarray, int]) -> bytes:
+    """Arrays of one length with how many low bytes of each value to keep; bytes of one place lie together, for compression."""
     import zstandard
 
-    parts = [len(arrays[0]).to_bytes(4, "little")]
-    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    parts = [len(arrays[0][0]).to_bytes(4, "little")]
+    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes() for a, width in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
+def _unpack(blob: bytes, *types: tuple[str, int]) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    for t in types:
-        width = np.dtype(t).itemsize
-        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
+    for t, width in types:
+        planes = np.zeros((n, np.dtype(t).itemsize), dtype=np.uint8)
+        planes[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+        out.append(planes.reshape(-1).view(t))
         at += n * width
     return out
 
@@ -252,8 +267,8 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _by_doc(docs: np.ndarray, ties: np.ndarray):
-    order, new = _groups(docs, ties)
+def _by_doc(*keys: np.ndarray):
+    order, new = _groups(*keys)
     for a, b in zip(new, [*new[1:], len(order)] if len(new) else [], strict=True):
         yield order[a:b]
 
@@ -263,33 +278,30 @@ def _by_doc(docs: np.ndarray, ties: np.ndarray):
 SHARED, ALONE, SEEN, SPAN = 0, 1, 2, 3
 
 
-def _anchor_blobs(buckets: int, length: int):
+def _anchor_blobs(labels: list[int], length: int):
     """Documents to blobs of anchor hashes by bucket. One row a hash and run of documents goes out, so that an
     anchor in a third of all documents sends no more than any other; what is shared within the run is told at once."""
+    buckets = len(labels)
 
     def run(batches):
         for b in batches:
-            docs, ties, texts = b.column("__id").to_numpy(), b.column("__tie").to_numpy(), binary_texts(b.column("text"))
+            docs, texts = b.column("__id").to_numpy(), binary_texts(b.column("text"))
             for i, j in slices(texts, 8 << 20):
                 rows = _Rows()
                 _, _, doc, h, *_ = anchors(texts[i:j], length)
-                ids = docs[i:j][doc]
-                order, new = _groups(h, ids, ties[i:j][doc])
-                h, ids, which = h[order][new], ids[order][new], doc[order][new]  # once for each hash and document
-                ties_of = ties[i:j][which]
+                order, new = _groups(h, doc)
+                h, ids = h[order][new], docs[i:j][doc[order][new]]  # once for each hash and text
                 start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
                 count = np.diff(np.concatenate((start, [len(h)])))
-                many = np.repeat(count > 1, count)
-                for rowset in _by_doc(ids[many], ties_of[many]):
-                    k = np.flatnonzero(many)[rowset]
-                    rows.add(int(k[0]) % buckets, SHARED, int(ids[k[0]]), int(ties_of[k[0]]), h[k].tobytes())
-                once = count == 1
-                out = start
-                bucket = (h[out] % np.uint64(buckets)).astype(np.int64)
-                for c in np.unique(bucket):
-                    k = out[bucket == c]
-                    seen = ~once[bucket == c]
-                    rows.add(int(c), ALONE, 0, 0, _pack(h[k], ids[k], ties_of[k], seen.astype(np.uint8)))
+                shared = np.flatnonzero(np.repeat(count > 1, count))
+                for k in _by_doc(ids[shared]):
+                    k = shared[k]
+                    rows.add(labels[int(k[0]) % buckets], SHARED, int(ids[k[0]]), 0, h[k].tobytes())
+                bucket = (h[start] % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                for a, z in _runs(bucket[by]):
+                    k = start[by[a:z]]
+                    rows.add(labels[int(bucket[by[a]])], ALONE, 0, 0, _pack((h[k], 6), (ids[k], 8), ((count[by[a:z]] > 1).astype(np.uint8), 1)))
                 yield rows.batch()
 
     return run
@@ -302,17 +314,17 @@ def _shared_anchors(batches):
         kind = b.column(1).to_numpy()
         yield b.filter(pa.array(kind == SHARED))
         for blob in b.column(4).filter(pa.array(kind == ALONE)).to_pylist():
-            parts.append(_unpack(blob, "u8", "i8", "i8", "u1"))
+            parts.append(_unpack(blob, ("u8", 6), ("i8", 8), ("u1", 1)))
     if not parts:
         return
-    h, ids, ties, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, ids, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, new = _groups(h)
     count = np.diff(np.concatenate((new, [len(order)])))
     take = order[np.repeat(count > 1, count)]  # a hash comes once from each run of documents
     take = take[seen[take] == 0]  # the others were told in step one
     rows = _Rows()
-    for k in _by_doc(ids[take], ties[take]):
-        rows.add(0, SHARED, int(ids[take[k[0]]]), int(ties[take[k[0]]]), h[take[k]].tobytes())
+    for k in _by_doc(ids[take]):
+        rows.add(0, SHARED, int(ids[take[k[0]]]), 0, h[take[k]].tobytes())
     yield rows.batch()
 
 
@@ -324,10 +336,12 @@ def _spans(first: np.ndarray, last: np.ndarray, length: int) -> bytes:
     return np.stack((first, last + length), axis=1).astype("<u4").tobytes()
 
 
-def _snippet_blobs(buckets: int, length: int):
+def _snippet_blobs(labels: list[int], length: int):
     """Documents with their shared anchors to blobs of snippets by bucket; equal snippets of a run go out once,
     with the smallest document, and the others' repeats are told at once."""
 
+    buckets = len(labels)
+
     def run(batches):
         import zstandard
 
@@ -352,7 +366,7 @@ def _snippet_blobs(buckets: int, length: int):
                 later = order[s_id > least]
                 for k in _by_doc(ids[later], tie[later]):
                     r = later[k]
-                    rows.add(int(r[0]) % buckets, SPAN, int(ids[r[0]]), int(tie[r[0]]), _spans(first[r] - base[r], last[r] - base[r], length))
+                    rows.add(labels[int(r[0]) % buckets], SPAN, int(ids[r[0]]), int(tie[r[0]]), _spans(first[r] - base[r], last[r] - base[r], length))
                 out = order[s_id == least]  # every place of the smallest document
                 bucket = (h[out] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -360,9 +374,9 @@ def _snippet_blobs(buckets: int, length: int):
                     r = out[by[a:z]]
                     size = (last[r] - first[r] + length).astype(np.int64)
                     pos = np.repeat(first[r], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    head = _pack(h[r], whole[r], ids[r], tie[r], (first[r] - base[r]).astype("<u4"), size.astype("<u2"), (at[r] - first[r]).astype(np.uint8))
+                    head = _pack((h[r], 6), (ids[r], 8), (tie[r], 4), (first[r] - base[r], 4), (size, 2), (at[r] - first[r], 1))
                     raw = zstandard.ZstdCompressor(level=3).compress(data[pos].tobytes())
-                    rows.add(int(bucket[by[a]]), SEEN, 0, 0, len(head).to_bytes(4, "little") + head + raw)
+                    rows.add(labels[int(bucket[by[a]])], SEEN, 0, 0, len(head).to_bytes(4, "little") + head + raw)
                 yield rows.batch()
 
     return run
@@ -380,16 +394,16 @@ def _solve(length: int):
             yield b.filter(pa.array(kind == SPAN))
             for blob in b.column(4).filter(pa.array(kind == SEEN)).to_pylist():
                 n = int.from_bytes(blob[:4], "little")
-                parts.append(_unpack(blob[4 : 4 + n], "u8", "u8", "i8", "i8", "<u4", "<u2", "u1"))
+                parts.append(_unpack(blob[4 : 4 + n], ("u8", 6), ("i8", 8), ("i8", 4), ("i8", 4), ("i8", 2), ("i8", 1)))
                 raws.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
         if not parts:
             return
-        h, whole, ids, tie, first, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, ids, tie, first, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
         data = np.frombuffer(b"".join(raws), dtype=np.uint8)
         raws.clear()
         parts.clear()
-        size = size.astype(np.int64)
         at = np.concatenate(([0], np.cumsum(size)))
+        whole = _whole(data, at, size, anchor)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, first window, last window) within the snippet
         # equal snippets: whatever is not of the smallest document is repeated throughout
         order, _ = _groups(h, whole, ids)
@@ -432,6 +446,21 @@ def _solve(length: int):
     return run
 
 
+def _whole(data, at, size, anchor):
+    """A hash of each snippet's bytes and of where its anchor lies, block by block."""
+    out = np.empty(len(size), dtype=np.uint64)
+    for i in range(0, len(size), 4096):
+        some = data[at[i] : at[min(i + 4096, len(size))]]
+        lo = at[i : i + 4096] - at[i]
+        lo = lo[: len(size[i : i + 4096])]
+        n = size[i : i + 4096]
+        sums = np.zeros(len(some) + 1, dtype=np.uint64)
+        np.cumsum(BYTE_CODE[some] * powers(len(some)), out=sums[1:])
+        extra = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + anchor[i : i + 4096].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out[i : i + 4096] = mix((sums[lo + n] - sums[lo]) * powers(len(some), inverse=True)[lo] + extra)
+    return out
+
+
 def _plausible(data, at, size, anchor, h, row, length):
     """Which snippets can share a window with another one of their anchor.
 
@@ -485,22 +514,23 @@ def _merge(blobs: list[bytes] | None) -> np.ndarray:
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with its rows' place in the order of doc_id and a hash that tells apart rows of one doc_id."""
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE))
-    return docs.withColumn("__id", place).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("__id", place).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__id, __tie, __spans: for each document with repeats blobs of (begin, end) byte ranges to remove, to be merged.
+    """__id, __spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove), to be merged.
 
     ``base`` is from ``keyed``. The one wide exchange is that of its rows by
-    (__id, __tie), which a join of the result with ``base`` uses again; the rest
+    __id, which a join of the result with ``base`` uses again; the rest
     are compressed blobs of hashes and of snippets.
     """
     buckets = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = base.select("__id", "__tie", "text").mapInArrow(_anchor_blobs(buckets, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors, BLOB)
-    flags = told.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list("blob").alias("__flags"))
-    marked = base.join(flags, ["__id", "__tie"])
-    solved = marked.mapInArrow(_snippet_blobs(buckets, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(length), BLOB)
-    return solved.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list("blob").alias("__spans"))
+    deal = labels(base.sparkSession, buckets)
+    told = base.select("__id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors, BLOB)
+    flags = told.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("blob").alias("__flags"))
+    marked = base.join(flags, "__id")
+    solved = marked.mapInArrow(_snippet_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(length), BLOB)
+    return solved.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("tie", "blob")).alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -516,13 +546,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     all others. Very long texts are read whole; an empty table gives no rows.
     """
     base, names = keyed(docs), docs.columns
-    joined = base.join(repeat_spans(base, length), ["__id", "__tie"], "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
+    joined = base.join(repeat_spans(base, length), "__id", "left").select(*[F.col(f"`{c}`") for c in names], "__tie", "__spans")
     at = names.index("text")
-    schema = [f for f in joined.schema.fields if f.name != "__spans"]
+    schema = [f for f in joined.schema.fields if f.name not in ("__tie", "__spans")]
 
     def run(batches):
         for b in batches:
-            texts, blobs = b.column(at).cast(pa.large_binary()).to_pylist(), b.column(len(names)).to_pylist()
+            texts, blobs = b.column(at).cast(pa.large_binary()).to_pylist(), _own(b)
             out, gone = [], []
             for t, s in zip(texts, blobs, strict=True):
                 cut = _merge(s)
@@ -535,6 +565,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(run, T.StructType([*schema, T.StructField("removed_spans", span)]))
 
 
+def _own(batch) -> list[list[bytes]]:
+    """Each row's blobs: of those of its doc_id the ones that carry its text's hash."""
+    return [[x["blob"] for x in found or [] if x["tie"] == tie] for tie, found in zip(batch.column("__tie").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+
+
 def _keep(text: bytes, cut: np.ndarray) -> bytes:
     parts, at = [], 0
     for a, b in cut.tolist():
@@ -546,12 +581,12 @@ def _keep(text: bytes, cut: np.ndarray) -> bytes:
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    joined = base.join(repeat_spans(base, length), ["__id", "__tie"], "left").select("doc_id", "text", "__spans")
+    joined = base.join(repeat_spans(base, length), "__id", "left").select("doc_id", "text", "__tie", "__spans")
 
     def run(batches):
         for b in batches:
             texts = binary_texts(b.column(1))
-            cuts = [_merge(s) for s in b.column(2).to_pylist()]
+            cuts = [_merge(s) for s in _own(b)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([int((c[:, 1] - c[:, 0]).sum()) for c in cuts], pa.int64()),
