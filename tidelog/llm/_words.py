@@ -10,7 +10,7 @@ import numpy as np
 
 #: Characters at which str.split and the tokenizer's white space may differ, and others that must not be lower-cased alone.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿Σİ<]")
-GENERATION = 80_000
+GENERATION = 120_000
 
 
 class _Cache(dict):
