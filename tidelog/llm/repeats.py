@@ -273,6 +273,21 @@ def _by_doc(*keys: np.ndarray):
         yield order[a:b]
 
 
+def _to_documents(rows: _Rows, labels: list[int], kind: int, ids: np.ndarray, *values: tuple[np.ndarray, int]) -> None:
+    """Add values of documents, one blob for each bucket of documents."""
+    bucket = (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(len(labels))).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    for a, z in _runs(bucket[by]):
+        k = by[a:z]
+        rows.add(labels[int(bucket[k[0]])], kind, 0, 0, _pack((ids[k], 8), *((v[k], w) for v, w in values)))
+
+
+def _of_documents(batches, kind: int, *types: tuple[str, int]) -> list[np.ndarray] | None:
+    """The values of all blobs of one kind in a partition, or none."""
+    parts = [_unpack(blob, ("i8", 8), *types) for b in batches for blob in b.column(4).filter(pa.array(b.column(1).to_numpy() == kind)).to_pylist()]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
+
+
 # --- step 1: which anchors occur in several documents
 
 SHARED, ALONE, SEEN, SPAN = 0, 1, 2, 3
@@ -294,9 +309,7 @@ def _anchor_blobs(labels: list[int], length: int):
                 start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
                 count = np.diff(np.concatenate((start, [len(h)])))
                 shared = np.flatnonzero(np.repeat(count > 1, count))
-                for k in _by_doc(ids[shared]):
-                    k = shared[k]
-                    rows.add(labels[int(k[0]) % buckets], SHARED, int(ids[k[0]]), 0, h[k].tobytes())
+                _to_documents(rows, labels, SHARED, ids[shared], (h[shared], 6))
                 bucket = (h[start] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 for a, z in _runs(bucket[by]):
@@ -307,35 +320,44 @@ def _anchor_blobs(labels: list[int], length: int):
     return run
 
 
-def _shared_anchors(batches):
-    """Blobs of one bucket to the anchors that each document shares with another one (kind SHARED, hashes in the blob)."""
-    parts: list[list[np.ndarray]] = []
-    for b in batches:
-        kind = b.column(1).to_numpy()
-        yield b.filter(pa.array(kind == SHARED))
-        for blob in b.column(4).filter(pa.array(kind == ALONE)).to_pylist():
-            parts.append(_unpack(blob, ("u8", 6), ("i8", 8), ("u1", 1)))
-    if not parts:
-        return
-    h, ids, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, new = _groups(h)
-    count = np.diff(np.concatenate((new, [len(order)])))
-    take = order[np.repeat(count > 1, count)]  # a hash comes once from each run of documents
-    take = take[seen[take] == 0]  # the others were told in step one
+def _shared_anchors(labels: list[int]):
+    """Blobs of one bucket to the anchors that documents share with another one (kind SHARED), by bucket of documents."""
+
+    def run(batches):
+        parts: list[list[np.ndarray]] = []
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            yield b.filter(pa.array(kind == SHARED))
+            for blob in b.column(4).filter(pa.array(kind == ALONE)).to_pylist():
+                parts.append(_unpack(blob, ("u8", 6), ("i8", 8), ("u1", 1)))
+        if not parts:
+            return
+        h, ids, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, new = _groups(h)
+        count = np.diff(np.concatenate((new, [len(order)])))
+        take = order[np.repeat(count > 1, count)]  # a hash comes once from each run of documents
+        take = take[seen[take] == 0]  # the others were told in step one
+        rows = _Rows()
+        _to_documents(rows, labels, SHARED, ids[take], (h[take], 6))
+        yield rows.batch()
+
+    return run
+
+
+def _flags(batches):
+    """One row for each document that shares anchors, with their hashes."""
+    got = _of_documents(batches, SHARED, ("u8", 6))
     rows = _Rows()
-    for k in _by_doc(ids[take]):
-        rows.add(0, SHARED, int(ids[take[k[0]]]), 0, h[take[k]].tobytes())
+    if got is not None:
+        ids, h = got
+        for k in _by_doc(ids):
+            rows.add(0, SHARED, int(ids[k[0]]), 0, h[k].tobytes())
     yield rows.batch()
 
 
 # --- step 2: snippets around shared anchors
 
 
-def _spans(first: np.ndarray, last: np.ndarray, length: int) -> bytes:
-    """Removed ranges (begin, end) of one document from ranges of window starts."""
-    return np.stack((first, last + length), axis=1).astype("<u4").tobytes()
-
-
 def _snippet_blobs(labels: list[int], length: int):
     """Documents with their shared anchors to blobs of snippets by bucket; equal snippets of a run go out once,
     with the smallest document, and the others' repeats are told at once."""
@@ -364,9 +386,7 @@ def _snippet_blobs(labels: list[int], length: int):
                 lead = np.flatnonzero(fresh)
                 least = np.repeat(s_id[lead], np.diff(np.concatenate((lead, [len(order)]))))
                 later = order[s_id > least]
-                for k in _by_doc(ids[later], tie[later]):
-                    r = later[k]
-                    rows.add(labels[int(r[0]) % buckets], SPAN, int(ids[r[0]]), int(tie[r[0]]), _spans(first[r] - base[r], last[r] - base[r], length))
+                _to_documents(rows, labels, SPAN, ids[later], (tie[later], 4), ((first - base)[later], 4), ((last - base)[later] + length, 4))
                 out = order[s_id == least]  # every place of the smallest document
                 bucket = (h[out] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -382,8 +402,8 @@ def _snippet_blobs(labels: list[int], length: int):
     return run
 
 
-def _solve(length: int):
-    """Blobs of one bucket to removed ranges by document (kind SPAN)."""
+def _solve(labels: list[int], length: int):
+    """Blobs of one bucket to removed ranges (kind SPAN), by bucket of documents."""
 
     def run(batches):
         import zstandard
@@ -436,16 +456,23 @@ def _solve(length: int):
                     found.append((np.repeat(own, len(lo)), np.tile(lo, len(own)), np.tile(hi, len(own))))
         row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         rows = _Rows()
-        for k in _by_doc(ids[row], tie[row]):
-            r = row[k]
-            rows.add(0, SPAN, int(ids[r[0]]), int(tie[r[0]]), _spans(first[r] + lo[k], first[r] + hi[k], length))
-            if len(rows.rows) > 50_000:
-                yield rows.batch()
+        _to_documents(rows, labels, SPAN, ids[row], (tie[row], 4), (first[row] + lo, 4), (first[row] + hi + length, 4))
         yield rows.batch()
 
     return run
 
 
+def _spans(batches):
+    """One row for each document with repeats: its maximal removed ranges (begin, end)."""
+    got = _of_documents(batches, SPAN, ("i8", 4), ("i8", 4), ("i8", 4))
+    rows = _Rows()
+    if got is not None:
+        ids, tie, begin, end = got
+        for k in _by_doc(ids, tie):
+            rows.add(0, SPAN, int(ids[k[0]]), int(tie[k[0]]), _merge(np.stack((begin[k], end[k]), axis=1)).astype("<u4").tobytes())
+    yield rows.batch()
+
+
 def _whole(data, at, size, anchor):
     """A hash of each snippet's bytes and of where its anchor lies, block by block."""
     out = np.empty(len(size), dtype=np.uint64)
@@ -501,11 +528,11 @@ def _chunks(h: np.ndarray, size: np.ndarray):
 # --- step 3: what remains
 
 
-def _merge(blobs: list[bytes] | None) -> np.ndarray:
-    """Maximal removed runs (begin, end), ascending."""
-    if not blobs:
+def _merge(x: np.ndarray) -> np.ndarray:
+    """Maximal runs of ranges (begin, end), ascending."""
+    if not len(x):
         return np.empty((0, 2), dtype=np.int64)
-    x = np.unique(np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2), axis=0).astype(np.int64)
+    x = x[np.argsort(x[:, 0], kind="stable")].astype(np.int64)
     reach = np.maximum.accumulate(x[:, 1])
     new = np.flatnonzero(np.concatenate(([True], x[1:, 0] > reach[:-1])))
     return np.stack((x[new, 0], reach[np.concatenate((new[1:], [len(x)])) - 1]), axis=1)
@@ -518,7 +545,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__id, __spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove), to be merged.
+    """__id, __spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove).
 
     ``base`` is from ``keyed``. The one wide exchange is that of its rows by
     __id, which a join of the result with ``base`` uses again; the rest
@@ -526,10 +553,12 @@ def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     buckets = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = labels(base.sparkSession, buckets)
-    told = base.select("__id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors, BLOB)
+    told = base.select("__id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors(deal), BLOB)
+    told = told.repartition(buckets, "bucket").mapInArrow(_flags, BLOB)
     flags = told.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("blob").alias("__flags"))
     marked = base.join(flags, "__id")
-    solved = marked.mapInArrow(_snippet_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(length), BLOB)
+    solved = marked.mapInArrow(_snippet_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(deal, length), BLOB)
+    solved = solved.repartition(buckets, "bucket").mapInArrow(_spans, BLOB)
     return solved.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("tie", "blob")).alias("__spans"))
 
 
@@ -554,8 +583,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             texts, blobs = b.column(at).cast(pa.large_binary()).to_pylist(), _own(b)
             out, gone = [], []
-            for t, s in zip(texts, blobs, strict=True):
-                cut = _merge(s)
+            for t, cut in zip(texts, blobs, strict=True):
                 gone.append([{"begin": int(x), "end": int(y)} for x, y in cut])
                 out.append(None if t is None else _keep(t, cut).decode("utf-8", "ignore"))
             cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
@@ -565,9 +593,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(run, T.StructType([*schema, T.StructField("removed_spans", span)]))
 
 
-def _own(batch) -> list[list[bytes]]:
-    """Each row's blobs: of those of its doc_id the ones that carry its text's hash."""
-    return [[x["blob"] for x in found or [] if x["tie"] == tie] for tie, found in zip(batch.column("__tie").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+def _own(batch) -> list[np.ndarray]:
+    """Each row's removed ranges: of those of its doc_id the ones that carry its text's hash."""
+    return [_merge(np.frombuffer(b"".join(x["blob"] for x in found or [] if x["tie"] == tie), "<u4").reshape(-1, 2)) for tie, found in zip(batch.column("__tie").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
 
 
 def _keep(text: bytes, cut: np.ndarray) -> bytes:
@@ -586,7 +614,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = binary_texts(b.column(1))
-            cuts = [_merge(s) for s in _own(b)]
+            cuts = _own(b)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([int((c[:, 1] - c[:, 0]).sum()) for c in cuts], pa.int64()),
