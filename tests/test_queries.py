@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.conftest import SF
+from tests.conftest import SF, SF_LARGER
 from tidelog.plans import catalogue
 
 
@@ -38,3 +38,10 @@ def test_blocks_cover_runs(spark):
 def test_prefix_shared(spark):
     rows = {r["key"]: r["shared"] for r in catalogue.prefix_shared(spark, SF).collect()}
     assert all(0 <= v < 7 for v in rows.values())
+
+
+def test_overlap_pairs_of_all_runs(spark):
+    runs = catalogue.meta(spark, SF_LARGER, 40).select("path", "min_key", "max_key").collect()
+    want = {(a[0], b[0]) for a in runs for b in runs if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
+    got = [tuple(r) for r in catalogue.overlap_pairs(spark, SF_LARGER).collect()]
+    assert len(runs) > 30 and len(got) == len(want) and set(got) == want

@@ -218,7 +218,8 @@ def level_state(spark, sf):
 
 
 def overlap_pairs(spark, sf):
-    m = meta(spark, sf, 40).filter("seq_max <= 1200")
+    """All pairs of runs whose key ranges meet. Their number grows with the square of the runs where keys are spread evenly."""
+    m = meta(spark, sf, 40)
     return m.alias("a").join(m.alias("b"), (F.col("a.path") < F.col("b.path")) & runs.overlaps("a", "b")).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
 
 
