@@ -154,6 +154,14 @@ def test_near_dedup_rows(spark):
     assert near_dedup.near_groups(rows.limit(0)).isEmpty()
 
 
+def test_near_dedup_keeps_rows_that_share_a_removed_doc_id(spark):
+    t = " ".join(f"w{i}" for i in range(50))
+    stay = [(1, t + " x", 2), (2, None, 3), (None, "other words here", 5), (7, "", 6), (7, "", 6), (8, "one text that nobody else has", 8), (None, None, 10), (1, "the kept number again on another text", 11)]
+    gone = [(3, t, 1), (None, t, 4), (8, t, 7), (None, t + " y", 9)]
+    out = near_dedup.near_dedup(spark.createDataFrame(stay + gone, "doc_id long, text string, sig long"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(stay, key=repr)
+
+
 # --- repeated passages
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidelog.llm._base import binary_texts, materialize, read, release, shingle_hashes, slices, text_of
 
@@ -256,6 +257,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     component's id unless no other is there, and is then kept. An empty table
     gives no rows; other columns are ignored. Very long texts are read whole.
     """
+    return _judged(docs).drop("sig")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_groups`` with sig, the signature of each row's set (null without shingles)."""
     spark = docs.sparkSession
     nodes = materialize(
         sketches(docs).filter("n > 0").groupBy("sig", "n", "sketch").agg(F.min("doc_id").alias("first_id")).withColumn("nid", F.monotonically_increasing_id()), "nodes"
@@ -276,7 +282,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = nodes.join(linker.comps, "nid", "left").join(least, "comp", "left").select("sig", F.coalesce("least", "first_id").alias("component"))
     out = sketches(docs).select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "sig")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,13 +301,30 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted.select("nid", "sig"), "sig").select("nid", "set")
 
 
+def _signed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __sig, the signature of each row's set."""
+    at, names = docs.columns.index("text"), [*docs.columns, "__sig"]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                some = b.slice(i, 500)
+                sigs = pa.array(map(signature, shingle_sets(binary_texts(some.column(at)))), pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns, sigs], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sig", BinaryType())]))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each component that with the smallest doc_id.
 
-    Where several rows carry that doc_id all of them stay.
+    Rows are judged by doc_id and shingle set together, so where several rows
+    carry one doc_id, or none, a copy among them does not take the others away.
+    Where several rows of a component carry the kept doc_id all of them stay.
     """
-    gone = near_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = _judged(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__gone_sig")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__sig") == F.col("__gone_sig"))
+    return _signed(docs).join(gone, same, "left_anti").drop("__sig")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
