@@ -126,6 +126,24 @@ def test_language_edge_cases(spark):
     assert language_id.predict(odd.limit(0), m).isEmpty()
 
 
+def test_long_noise_is_rejected_and_short_text_stays(spark):
+    import base64
+    import random
+
+    from tests.conftest import SF_LARGER
+
+    base = read(spark, SF_LARGER, "documents").filter("length(text) > 0")
+    m = language_id.fit(language_id.training(base))
+    rng = random.Random(5)
+    scripts = ["abcdefghijklmnopqrstuvwxyz     ", "".join(map(chr, range(0x430, 0x450))) + "    ", "".join(map(chr, range(0x4E00, 0x9FFF)))]
+    noise = [("".join(rng.choices(x, k=n))) for x in scripts for n in (1000, 5000, 20000)] + [base64.b64encode(rng.randbytes(n)).decode() for n in (1000, 5000, 20000)]
+    rows = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string")
+    assert [r["doc_id"] for r in language_id.predict(rows, m).filter("NOT rejected").collect()] == []
+    assert language_id.accepted(base, m).count() == base.count()
+    short = base.limit(50).select("doc_id", F.substring("text", 1, 60).alias("text"))
+    assert language_id.accepted(short, m).count() == short.count()
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div id="cookie-notice"><p>We use cookies, ok, fine, yes, accept all of them.</p></div>
 <header><h2>Site</h2></header><div class="menu"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class=content><h1>T &amp; x</h1>
 <p>Some text, with a <a href=q>link</a> here, and more.<p>Second<br>para &nbsp; x<blockquote>quoted, well</blockquote><ul><li>item a<li>item b</ul>

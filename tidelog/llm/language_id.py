@@ -15,7 +15,10 @@ DIMS = 1 << 13
 PER_LANGUAGE = 600  # labelled rows for each language that the fit may use
 LANGUAGES = 256  # the most frequent languages that can be learned
 CLUSTERS = 3
-REJECT = 0.08  # cosine below which no centroid is near
+REJECT = 0.08  # cosine below which no centroid is near, whatever the text
+BANDS = DIMS.bit_length() + 1  # texts by the bit length of their number of distinct grams
+MARGIN = 0.8  # of the least cosine of a band's training rows: what lies below is unlike all of them
+ENOUGH = 50  # training rows that a band needs for a bound of its own
 
 _FOLD = np.full(256, 32, dtype=np.uint8)  # other bytes count as a space
 _FOLD[97:123] = np.arange(97, 123)
@@ -67,14 +70,17 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     default: str  # the language of most training rows, or und
+    least: np.ndarray  # the cosine that a text of each band needs
 
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """Languages and cosines of the nearest centroids; ``und`` and 0 for a text without a letter."""
-        langs, scores = [], np.zeros(len(texts))
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages and cosines of the nearest centroids, ``und`` and 0 for a text without a letter; bands."""
+        langs, scores, bands = [], np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         for a, b in slices(texts, 1 << 20):
             for i in range(a, b, 128):
                 some = texts[i : min(i + 128, b)]
-                near = np.zeros((len(some), 1)) if not self.languages else weighted(ngram_counts(some), self.idf) @ self.centroids.T
+                counts = ngram_counts(some)
+                near = np.zeros((len(some), 1)) if not self.languages else weighted(counts, self.idf) @ self.centroids.T
+                bands[i : i + len(some)] = [int(k).bit_length() for k in (counts > 0).sum(axis=1)]
                 best = near.argmax(axis=1)
                 for k, t in enumerate(some):
                     s = float(near[k, best[k]])
@@ -83,7 +89,12 @@ class Model:
                         continue
                     langs.append(self.languages[best[k]] if s > 0 else self.default)
                     scores[i + k] = min(1.0, max(0.0, s))
-        return langs, scores
+        return langs, scores, bands
+
+    def judge(self, texts: list[bytes], reject: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, cosines, and whether a text has no letter or is near to no centroid."""
+        langs, scores, bands = self.predict(texts)
+        return langs, scores, (np.array(langs, dtype=object) == "und") | (scores < np.maximum(self.least[bands], reject))
 
 
 def has_letter(text: str) -> bool:
@@ -110,12 +121,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
     A bounded sample is used: for each of the ``LANGUAGES`` most frequent
     languages about ``per_language`` rows, those whose doc_id hashes lowest.
     Null languages and texts are left out. Without rows every text with a
-    letter is ``und``.
+    letter is ``und``. The bounds of rejection come from all rows.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
-        return Model([], np.zeros((0, DIMS), dtype=np.float32), np.ones(DIMS, dtype=np.float32), "und")
+        return Model([], np.zeros((0, DIMS), dtype=np.float32), np.ones(DIMS, dtype=np.float32), "und", np.zeros(BANDS))
     at_most = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(place < at_most[F.col("lang")])
@@ -142,14 +153,40 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = C
         for c in _clusters(own, clusters):
             names.append(str(lang))
             centroids.append(c)
-    return Model(names, np.array(centroids, dtype=np.float32).reshape(len(names), DIMS), idf, sizes[0]["lang"])
+    model = Model(names, np.array(centroids, dtype=np.float32).reshape(len(names), DIMS), idf, sizes[0]["lang"], np.zeros(BANDS))
+    model.least = _bounds(rows, model)
+    return model
+
+
+def _bounds(rows: DataFrame, model: Model) -> np.ndarray:
+    """The cosine that a text of each band needs: ``MARGIN`` of the least of all training rows there.
+
+    The more grams a text has, the more of them any centroid shares by chance,
+    and the higher the cosines of clean text are. A band of fewer than
+    ``ENOUGH`` rows takes the bound of the next lower one that has one.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            langs, scores, bands = m.predict(binary_texts(b.column(0)))
+            known = np.array(langs, dtype=object) != "und"
+            have = [(k, float(scores[w].min()), int(w.sum())) for k in range(BANDS) if (w := known & (bands == k)).any()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in have], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], names=["band", "least", "n"])
+
+    found = rows.select("text").mapInArrow(run, "band long, least double, n long").groupBy("band").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect()  # BANDS rows
+    own, out = {r["band"]: MARGIN * r["least"] for r in found if r["n"] >= ENOUGH}, np.zeros(BANDS)
+    for k in range(BANDS):
+        out[k] = own.get(k, out[k - 1] if k else 0.0)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected.
 
     ``rejected`` holds where a text has no letter or its cosine to the
-    nearest centroid is below ``reject``. Null and empty texts are ``und``.
+    nearest centroid is below ``reject`` or the bound for texts of as many grams. Null and empty texts are ``und``.
     Whole texts are read; repeated rows and null doc_ids are judged as they
     come; an empty table gives no rows; other columns are ignored.
     """
@@ -158,8 +195,7 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            langs, scores = m.predict(binary_texts(b.column(1)))
-            gone = [lang == "und" or s < reject for lang, s in zip(langs, scores, strict=True)]
+            langs, scores, gone = m.judge(binary_texts(b.column(1)), reject)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -169,7 +205,8 @@ def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
     """The documents that are not rejected, with their columns.
 
     A text without a letter, a null and an empty one are rejected, and any
-    whose nearest centroid lies beyond ``reject``; all others stay as they are.
+    whose nearest centroid lies beyond ``reject`` or the bound for texts of as
+    many grams; all others stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -177,8 +214,7 @@ def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
     def run(batches):
         m = shared.value
         for b in batches:
-            langs, scores = m.predict(binary_texts(b.column(at)))
-            yield b.filter(pa.array([lang != "und" and s >= reject for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            yield b.filter(pa.array(~m.judge(binary_texts(b.column(at)), reject)[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
