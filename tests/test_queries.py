@@ -45,3 +45,15 @@ def test_overlap_pairs_of_all_runs(spark):
     want = {(a[0], b[0]) for a in runs for b in runs if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
     got = [tuple(r) for r in catalogue.overlap_pairs(spark, SF_LARGER).collect()]
     assert len(runs) > 30 and len(got) == len(want) and set(got) == want
+
+
+def test_compaction_merges_all_runs(spark):
+    from tidelog.operators import runs, versions
+
+    rows = runs.by_run(catalogue.m1(spark, SF_LARGER)).select("run", "key", "seq").collect()
+    assert max(r["run"] for r in rows) > catalogue.COMPACTED
+    want = sorted(tuple(r) for r in versions.newest(catalogue.m1(spark, SF_LARGER)).select("key", "seq", "tombstone").collect())
+    for name, expected in (("compaction_keep", want), ("compaction_drop", [w for w in want if not w[2]])):
+        assert sorted(tuple(r) for r in catalogue.QUERIES[name](spark, SF_LARGER).select("key", "seq", "tombstone").collect()) == expected
+    keys = [r["key"] for r in rows]
+    assert {tuple(r) for r in catalogue.compaction_obsolete_versions(spark, SF_LARGER).collect()} == {(k, keys.count(k) - 1) for k in set(keys) if keys.count(k) > 1}

@@ -205,11 +205,12 @@ def prefix_shared(spark, sf):
 
 
 def compaction(drop):
-    return lambda spark, sf: runs.merge(runs.by_run(m1(spark, sf)).filter(F.col("run") <= COMPACTED), drop).select("key", "value", "tombstone", "seq")
+    """A merge of all runs, so that no older version lies below it and tombstones may go."""
+    return lambda spark, sf: runs.merge(runs.by_run(m1(spark, sf)), drop).select("key", "value", "tombstone", "seq")
 
 
 def compaction_obsolete_versions(spark, sf):
-    rows = runs.by_run(m1(spark, sf)).filter(F.col("run") <= COMPACTED)
+    rows = runs.by_run(m1(spark, sf))
     return rows.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("obsolete")).filter("obsolete > 0")
 
 
