@@ -155,6 +155,23 @@ def test_page():
     assert html_text.main_text(PAGE) == "T & x\n\nSome text, with a link here, and more.\n\nSecond para x\n\nquoted, well\n\nitem a\n\nitem b"
 
 
+P = "Some real words, in a sentence, that go on and on for a while. " * 4
+REFERENCES = "<ul>" + "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">', '<div class="no-comments">', '<div id="search-results-article">', '<div class="social">'])
+def test_wrappers_of_the_text_stay(wrap):
+    comments = f'<div class="comments"><p>{"Nice one, mate. " * 90}</p></div>'
+    for body in (f"<article><p>{P}</p></article>", f"<div><p>{P}</p></div>"):
+        assert html_text.main_text(f"<body>{wrap}{body}{comments}</div></body>") == P.strip()
+        assert html_text.main_text(f"<body>{body}{comments}</body>") == P.strip()
+
+
+def test_link_lists_of_the_article_stay():
+    got = html_text.main_text(f'<body><article><p>{P}</p>{REFERENCES}<nav>{REFERENCES}</nav><div class="related">{REFERENCES}</div></article></body>')
+    assert got.count("Reference number") == 6 and got.startswith(P.strip())
+
+
 @pytest.mark.parametrize(("html", "want"), [(None, ""), ("", ""), ("plain <b>text</b> 1 < 2 &amp; 3", "plain text 1 < 2 & 3"), ("<p>open <script>var a", "open"), ("<div>" * 3000 + "x", "x"), ('<a href="x', ""),
     ("<nav>only a menu</nav>", ""), ("<p>a<!-- b --><![CDATA[c]]>&eacute;&#233;&lt;", "aéé<"), ("<table><tr><td>one, cell<td>two, cell</table>", "one, cell\n\ntwo, cell"), ("<svg/><p>after, all", "after, all")])
 def test_odd_pages(html, want):

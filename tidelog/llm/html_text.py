@@ -32,19 +32,39 @@ NAMES = frozenset(
 #: Elements that a start tag closes where one is open, up to the element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words before a name in a class or id that say what a wrapper has beside it, not what it is.
+HAVING = frozenset("has with no without".split())
+ENOUGH = 200  # characters of paragraphs outside all named elements from which names are trusted
 UP = 5  # generations that a paragraph passes points to
 
 
 class Node:
-    __slots__ = ("chars", "children", "gone", "linked", "parent", "points", "tag")
+    __slots__ = ("chars", "children", "gone", "linked", "named", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.gone = tag, parent, gone
+        self.tag, self.parent, self.gone, self.named = tag, parent, gone, False
         self.children: list = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
+def _is_name(value: str) -> bool:
+    """Whether a class or id has a word of NAMES that no word of HAVING leads."""
+    for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        before = ""
+        for word in re.split(r"[^a-z]+", one):
+            if word in NAMES and before not in HAVING:
+                return True
+            before = word
+    return False
+
+
+def _named(tag: str, rest: str) -> bool:
+    if not rest or rest.isspace() or tag in ("html", "body", "article", "main"):
+        return False
+    return any((m[1] or m[5]).lower() in ("class", "id") and _is_name(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest))
+
+
 def _surrounds(tag: str, rest: str, stack: list[Node]) -> bool:
     if tag in ASIDE:
         return True
@@ -57,10 +77,7 @@ def _surrounds(tag: str, rest: str, stack: list[Node]) -> bool:
     for m in ATTRIBUTE.finditer(rest):
         name = (m[1] or m[5]).lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if not NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower())):
-                return True
-        elif (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if (name == "role" and value in ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -71,6 +88,7 @@ def parse(html: str) -> Node:
     """A tree of the page; unclosed and misnested tags are closed as browsers roughly do."""
     root = Node("#page", None)
     stack, at, n = [root], 0, len(html)
+    nodes = [root]
 
     def text(piece: str) -> None:
         if piece:
@@ -122,12 +140,55 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and any(x.tag == tag for x in stack):
             continue
         node = Node(tag, stack[-1], stack[-1].gone or _surrounds(tag, rest, stack))
+        node.named = not node.gone and _named(tag, rest)
+        nodes.append(node)
         stack[-1].children.append(node)
         if tag not in VOID and not (tag in ("svg", "math") and rest.endswith("/")):
             stack.append(node)
+    if any(x.named for x in nodes):
+        _settle(nodes)
     return root
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Drop the elements that a class or id names as furniture, but no wrapper of the page's text.
+
+    ``nodes`` are in page order, parents first. A wrapper holds the article or
+    main with the most paragraph text, or most of the page's paragraph text
+    where hardly any stands outside such elements.
+    """
+    at = {id(x): k for k, x in enumerate(nodes)}
+    up = [0 if x.parent is None else at[id(x.parent)] for x in nodes]
+    size, para, link, inner = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes), [False] * len(nodes)
+    for k, x in enumerate(nodes):
+        para[k] = x.tag in ("p", "pre", "blockquote") or (k > 0 and para[up[k]])
+        link[k] = x.tag == "a" or (k > 0 and link[up[k]])
+        inner[k] = k > 0 and (inner[up[k]] or nodes[up[k]].tag in ("article", "main"))
+        if para[k] and not link[k] and not x.gone:
+            size[k] = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
+    held, clear = size[:], size[:]  # text below each node, and that outside of named ones
+    for k in range(len(nodes) - 1, 0, -1):
+        held[up[k]] += held[k]
+        if not nodes[k].named:
+            clear[up[k]] += clear[k]
+    tops = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.gone and not inner[k]]
+    wraps = set()
+    if tops:
+        k = max(tops, key=lambda k: held[k])
+        while k:
+            k = up[k]
+            wraps.add(k)
+    free = clear[0]
+    for k, x in enumerate(nodes):
+        if k and nodes[up[k]].gone:
+            x.gone = True
+        elif x.named and k not in wraps:
+            if not tops and free < ENOUGH <= held[k] and 2 * held[k] > held[0]:
+                free += clear[k]
+            else:
+                x.gone = True
+
+
 def _walk(top: Node):
     """(event, item, nearest block) in page order: text, open and close of elements that are kept."""
     todo: list = [iter(top.children)]
@@ -265,7 +326,7 @@ def main_text(html: str | None) -> str:
                 parts.append(x)
     out = []
     for x in parts:
-        _blocks(x, out, keep_links=False)
+        _blocks(x, out, keep_links=x is best and x.tag in ("article", "main"))
     return "\n\n".join(out)
 
 
