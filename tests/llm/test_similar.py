@@ -111,28 +111,34 @@ def test_near_groups_of_edited_families(spark):
     assert got == brute_components(rows)
 
 
-def test_long_lists_in_blocks(spark):
-    """All members in one component each: every link comes from block pairs."""
+@pytest.mark.parametrize("large", [0, 12])
+def test_long_lists_in_blocks(spark, large, monkeypatch):
+    """Members outside the largest component reach all that they are similar to, by fewer links than there are members in a block."""
     rng = random.Random(3)
     base = [f"b{i}" for i in range(200)]
     texts = []
     for _ in range(30):
         new = list(base)
-        for k in rng.sample(range(200), 2):
+        for k in rng.sample(range(200), rng.choice([2, 2, 7])):
             new[k] = f"e{rng.random()}"
         texts.append(" ".join(new))
     sets = near_dedup.shingle_sets([t.encode() for t in texts])
-    rows = [(int(v), i, i, 30) for i, s in enumerate(sets) for v in s[:12].view(np.int64)]
-    opened = spark.createDataFrame(rows, "v long, nid long, comp long, members long")
+    comp = lambda i: 0 if i < large else i
+    rows = [(int(v), i, len(s), comp(i), 30, 30 * 8 * 200) for i, s in enumerate(sets) for v in s[:12].view(np.int64)]
+    opened = spark.createDataFrame(rows, "v long, nid long, n long, comp long, members long, bytes long")
     table = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "nid long, set binary")
-    old, near_dedup.BLOCK = near_dedup.BLOCK, 7
-    try:
-        got = {(r["a"], r["b"]) for r in near_dedup._long_links(opened, table).collect()}
-    finally:
-        near_dedup.BLOCK = old
-    meet = {(i, j) for i in range(30) for j in range(i + 1, 30) if set(sets[i][:12]) & set(sets[j][:12])}
-    want = {(i, j) for i, j in meet if near_dedup._similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
-    assert got == want and want
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 11_000)
+    got = {(r["a"], r["b"]) for r in near_dedup._long_links(opened, table).collect()}
+    similar = lambda i, j: near_dedup._similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if set(sets[i][:12]) & set(sets[j][:12]) and comp(i) != comp(j) and similar(i, j)}
+
+    def joined(pairs):
+        up = [comp(i) for i in range(30)]
+        for i, j in pairs:
+            up = [up[i] if x == up[j] else x for x in up]
+        return [[k for k in range(30) if up[k] == x] for x in up]
+
+    assert want and got <= want and joined(got) == joined(want)
 
 
 def test_components_of_a_chain(spark):
@@ -149,6 +155,10 @@ def test_near_dedup_rows(spark):
     rows = spark.createDataFrame([(3, t, 1), (1, t + " x", 2), (2, None, 3), (None, t, 4), (None, "other words here", 5), (7, "", 6), (7, "", 6)], "doc_id long, text string, sig long")
     out = near_dedup.near_dedup(rows)
     assert out.columns == rows.columns
+    clash = ["doc_id", "text", "n", "id", "comp.a", "__gone", "node", "c0"]
+    odd = near_dedup.near_dedup(rows.select("doc_id", "text", *["sig"] * 6).toDF(*clash))
+    assert odd.columns == clash and {r["doc_id"] for r in odd.collect()} == {r["doc_id"] for r in out.collect()} == {1, 2, 7, None}
+    assert near_dedup.near_dedup(rows.limit(0)).isEmpty()
     groups = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.near_groups(rows).collect()}
     assert groups[(3, 46)] == (1, False) and groups[(1, 47)] == (1, True) and groups[(2, 0)] == (2, True) and groups[(None, 46)] == (1, False) and groups[(None, 1)] == (None, True)
     assert near_dedup.near_groups(rows.limit(0)).isEmpty()
@@ -224,6 +234,38 @@ def test_random_edits(spark):
     check_repeats(spark, rows)
 
 
+def test_large_groups_are_halved(spark, monkeypatch):
+    """Groups above the transform's size give the same result, down to single windows; and so do many small buckets."""
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(120)
+    rows = [(i, make(rng.randint(0, 40)) + passage[rng.choice([0, 0, 20, 55]) : rng.choice([120, 120, 90, 71])] + make(rng.randint(0, 40))) for i in range(60)]
+    rows += [(60 + i, passage[:80] + rng.choice("xyz") + passage[81:]) for i in range(10)]
+    for chunk in (200, 900, 4000):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        data = [t.encode() for _, t in rows]
+        _, starts, doc, h, at, first, last, _ = repeats.anchors(data)
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        size, anchor = last - first + 50, at - first
+        removed = [bytearray(len(t)) for t in data]
+        for row, lo, hi in repeats._windows(joined, first, size, anchor, np.arange(len(h)), h, doc, 50):
+            begin = int(first[row] - starts[doc[row]])
+            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                removed[doc[row]][begin + a : begin + b + 50] = b"\1" * (b - a + 50)
+        want = brute_repeats([(d, t.encode()) for d, t in rows])
+        assert [sum(r) for r in removed] == [want[d][1] for d, _ in rows]
+    monkeypatch.setattr(repeats, "CHUNK", 600)
+    monkeypatch.setattr(repeats, "BUCKET", 500)
+    check_repeats(spark, rows)
+
+
+def test_equal_hashes_do_not_make_equal_snippets():
+    data = np.frombuffer(b"abcabdabcab", np.uint8)
+    fresh = np.array([True, False, False, False])
+    repeats._tell_apart(fresh, np.array([0, 2, 1, 3]), data, np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2]), np.array([1, 1, 1, 1]))
+    assert fresh.tolist() == [True, False, True, True]
+
+
 def test_anchor_runs_of_long_texts():
     """Minima are the same however a long run of hashes is cut."""
     h = np.random.default_rng(2).integers(0, 2**40, 5000, dtype=np.uint64) << np.uint64(24)
@@ -239,6 +281,9 @@ def test_remove_repeats_rows(spark):
     got = {r["spans"]: r["text"] for r in out.collect()}
     assert got["p"] == "x " + passage and got["q"] == " y" and got["r"] == "z" and got["s"] is None and got["t"] == ""
     assert repeats.remove_repeats(rows.limit(0)).isEmpty()
+    clash = ["doc_id", "text", "id", "tie", "removed_spans", "a.b", "__id", "c0"]
+    odd = repeats.remove_repeats(rows.select("doc_id", "text", *["spans"] * 6).toDF(*clash))
+    assert odd.columns == [*clash, "removed_spans_"] and sorted(tuple(r)[:-1] for r in odd.select("id", "c0", "tie", "text", "removed_spans_").collect() if r["text"] is not None) == sorted((k, k, k, t) for k, t in got.items() if t is not None)
 
 
 # --- pipeline

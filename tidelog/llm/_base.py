@@ -14,13 +14,39 @@ from pyspark.sql import functions as F
 
 from tidelog.session import scratch, ship
 
+#: Bytes of rows that go to a Python worker at once; a single longer row goes alone.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return frugal(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def frugal(spark: SparkSession) -> SparkSession:
+    """Bound what a Python worker gets at once by bytes, as texts may be very long; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key)
+    if not have[:-1].isdigit() or have[-1] not in "b0123456789" or int(have.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return ship(spark)
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1 ... so that no name of theirs can clash with one of an operator."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all names in ``taken``, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared scratch table and read it back (cuts lineage)."""
-    spark = df.sparkSession
+    spark = frugal(df.sparkSession)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidelog.llm._base import binary_texts, materialize, read, release, shingle_hashes, slices, text_of
+from tidelog.llm._base import binary_texts, materialize, read, release, shielded, shingle_hashes, slices, text_of
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -19,7 +19,8 @@ K = 64  # values of one hash function that a sketch retains
 #: probability 0.75, fewer than 28 do with probability 1e-8.
 SHARED = 28
 FEW = 8  # members of an inverted list that a plain join may pair
-BLOCK = 1500  # members of a longer list that are compared with each other in one piece
+BLOCK_BYTES = 6 << 20  # of sets of a longer list that are compared with as many others in one piece
+ROW_BYTES = 200  # of a member besides its set
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -104,10 +105,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    """Links found so far between nodes (distinct shingle sets), and the components that they make."""
+    """Components of nodes (distinct shingle sets) from the links found so far. New links are between components
+    alone, so each round works on what is still apart and not on all links again."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame):
-        self.nodes, self.sets, self.links, self.comps = nodes, sets, None, None
+        self.nodes, self.sets, self.comps = nodes, sets, None
 
     def add(self, pairs: DataFrame) -> None:
         """Filter candidate pairs (a, b) by sketches, verify them on whole sets and update the components."""
@@ -115,25 +117,33 @@ class _Linker:
         joined = pairs.join(n.toDF("a", "na", "sa"), "a").join(n.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
         likely = joined.mapInArrow(_sketch_filter, "a long, b long, na long, nb long").select("a", "b")
         whole = likely.join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        self.join(materialize(whole.mapInArrow(_verify, "a long, b long"), "links"))
+        self.take(materialize(whole.mapInArrow(_verify, "a long, b long"), "links"))
 
-    def join(self, found: DataFrame) -> None:
+    def take(self, found: DataFrame) -> None:
         """Take up confirmed links."""
-        if self.links is not None and found.isEmpty():
+        if self.comps is None:
+            self.comps = components(found)
+            return
+        own = self.comps.select(F.col("nid").alias("a"), F.col("comp").alias("ca"))
+        other = self.comps.select(F.col("nid").alias("b"), F.col("comp").alias("cb"))
+        between = found.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+        between = materialize(between, "between")
+        if between.isEmpty():
             return
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.comps = components(self.links)
+        merged = components(between)
+        moved = self.comps.join(merged.select(F.col("nid").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("nid", F.coalesce("to", "comp").alias("comp"))
+        fresh = merged.join(self.comps.select("nid"), "nid", "left_anti").select("nid", "comp")
+        self.comps = materialize(moved.unionByName(fresh), "comps")
 
     def with_comp(self, entries: DataFrame) -> DataFrame:
-        if self.comps is None:
-            return entries.withColumn("comp", F.col("nid"))
         return entries.join(self.comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
 
     def open_lists(self, entries: DataFrame) -> DataFrame:
-        """Entries (v, nid, comp) of the lists whose members are in several components."""
+        """Entries (v, nid, n, comp, members, bytes) of the lists whose members are in several components."""
         have = self.with_comp(entries)
-        several = have.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("v", "members")
-        return materialize(have.join(several, "v"), "open")
+        size = F.sum(F.col("n") * 8 + ROW_BYTES)
+        several = have.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), size.alias("bytes")).filter("lo < hi").select("v", "members", "bytes")
+        return materialize(have.join(several, "v").select("v", "nid", "n", "comp", "members", "bytes"), "open")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -151,61 +161,78 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     size = F.least("n", F.lit(K))
     w = Window.partitionBy("nid")
     ranked = kept.withColumn("alone", size - F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "v")))
-    return ranked.filter(F.col("rank") + F.col("alone") <= size - o + 1).select("v", "nid")
+    return ranked.filter(F.col("rank") + F.col("alone") <= size - o + 1).select("v", "nid", "n")
+
+
+class _Codes:
+    """Rows of values as codes of the values that occur among them, to mark one row and look up the others at once."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        values, code = np.unique(np.concatenate(rows), return_inverse=True)
+        self.code, self.at = code.reshape(-1), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        self.mark = np.zeros(len(values), dtype=np.int64)
 
+    def shared(self, k: int, rows: np.ndarray) -> np.ndarray:
+        """How many values row ``k`` shares with each of ``rows``."""
+        own = self.code[self.at[k] : self.at[k + 1]]
+        self.mark[own] = 1
+        size = self.at[rows + 1] - self.at[rows]
+        edge = np.concatenate(([0], np.cumsum(size)))
+        place = np.repeat(self.at[rows] - edge[:-1], size) + np.arange(edge[-1])
+        sums = np.concatenate(([0], np.cumsum(self.mark[self.code[place]])))
+        self.mark[own] = 0
+        return sums[edge[1:]] - sums[edge[:-1]]
 
-def _block_links(pdf):
-    """Links between different components within one block pair of a list, confirmed on whole sets.
 
-    Products of 0/1 matrices over the retained values count what members
-    share, for all pairs at once. A pair that meets in several long lists is
-    confirmed in the first of them alone, so each pair costs one comparison.
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between components from one block of a list's members to one block of those outside its largest component.
+
+    Each of the latter is held against all the members at once: by what their
+    sketches share, then by whole sets. A pair that meets in several long
+    lists is looked at in the first of them alone. Components grow as links are
+    found and what is joined already is passed over, so a block gives fewer
+    links than it has rows.
     """
-    import pandas as pd
-
-    none = pd.DataFrame({"a": [], "b": []}).astype("int64")
-    pdf = pdf.drop_duplicates("nid").sort_values("nid")
-    if len(pdf) < 2:
-        return none
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-    n, comp, block = np.array([len(x) for x in sets]), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-    has = _matrix([x[:K] for x in sets])
-    shared = has @ has.T
-    size = n.astype(np.float32)
-    need = np.where((n[:, None] > K) | (n[None, :] > K), np.float32(SHARED), np.float32(0.42) * (size[:, None] + size[None, :]))
-    ok = np.triu(shared >= need, 1) & (comp[:, None] != comp[None, :]) & (4 * np.minimum(size[:, None], size[None, :]) >= 3 * np.maximum(size[:, None], size[None, :]))
-    if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-        ok &= block[:, None] != block[None, :]
-    left, right = np.nonzero(ok)
-    if not len(left):
-        return none
-    here = pdf["v"].iloc[0]
-    lists = [np.asarray(x) for x in pdf["lists"]]
-    before = _matrix([x[x < here] for x in lists]).astype(bool)
-    ids, found = pdf["nid"].to_numpy(), []
-    for k in range(0, len(left), 20_000):
-        x, y = left[k : k + 20_000], right[k : k + 20_000]
-        first = ~(before[x] & before[y]).any(axis=1)
-        found += [(ids[p], ids[q]) for p, q in zip(x[first], y[first], strict=True) if _similar(_overlap(sets[p], sets[q]), n[p], n[q])]
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
-
-
-def _matrix(rows: list[np.ndarray]) -> np.ndarray:
-    """One row of 0 and 1 for each set, over the values that two sets or more have."""
-    lens = [len(x) for x in rows]
-    _, code, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    twice = times[code] > 1
-    column = np.cumsum(times > 1) - 1
-    has = np.zeros((len(rows), int((times > 1).sum())), dtype=np.float32)
-    has[np.repeat(np.arange(len(rows)), lens)[twice], column[code[twice]]] = 1
-    return has
+    found: list[tuple[int, int]] = []
+    ids, n, comp, asks = (table.column(c).to_numpy() for c in ("nid", "n", "comp", "asks"))
+    order = np.lexsort((ids, ~asks))
+    ids, n, comp, asks = ids[order], n[order], comp[order], asks[order]
+    raw, lists = table.column("set").to_pylist(), table.column("lists").to_pylist()
+    sets = [np.frombuffer(raw[k], np.uint64) for k in order]
+    here, outside = table.column("v")[0].as_py(), table.column("apart").to_numpy()[order]
+    lists = [np.array([v for v in lists[k] if v < here], dtype=np.int64) for k in order]
+    members = np.flatnonzero(~asks)
+    if len(members) and asks.any():
+        _, group = np.unique(comp, return_inverse=True)
+        up = list(range(int(group.max()) + 1))
+
+        def top(g: int) -> int:
+            while up[g] != g:
+                up[g] = up[up[g]]
+                g = up[g]
+            return g
+
+        sketch, before, whole = _Codes([s[:K] for s in sets]), _Codes(lists), None
+        for k in np.flatnonzero(asks).tolist():
+            # two members outside meet in both roles, and the smaller one asks
+            cand = members[(group[members] != group[k]) & (~outside[members] | (ids[members] > ids[k]))]
+            cand = cand[4 * np.minimum(n[cand], n[k]) >= 3 * np.maximum(n[cand], n[k])]
+            both = sketch.shared(k, cand)
+            small = (n[cand] <= K) & (n[k] <= K)
+            cand = cand[np.where(small, 100 * both >= 75 * (n[cand] + n[k] - both), both >= SHARED)]
+            if len(cand):
+                cand = cand[before.shared(k, cand) == 0]
+            cand = cand[[top(g) != top(int(group[k])) for g in group[cand].tolist()]] if len(cand) else cand
+            if not len(cand):
+                continue
+            whole = whole or _Codes(sets)
+            both = whole.shared(k, cand)
+            for m in cand[100 * both >= 75 * (n[cand] + n[k] - both)].tolist():
+                a, b = top(int(group[k])), top(int(group[m]))
+                if a != b:
+                    up[a] = b
+                    found.append((min(int(ids[k]), int(ids[m])), max(int(ids[k]), int(ids[m]))))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _short_pairs(opened: DataFrame) -> DataFrame:
@@ -216,22 +243,37 @@ def _short_pairs(opened: DataFrame) -> DataFrame:
 
 
 def _long_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of different components of the longer lists: members are cut into blocks, and each block meets each other one."""
+    """Links of different components of the longer lists.
+
+    Only pairs with a member outside the list's largest component can link
+    components, so those ask, in blocks, and all members answer, in blocks.
+    Where a few are outside, a list costs its length and not its square.
+    Blocks are cut by the bytes of the sets, so a task holds two blocks at most.
+    """
     many = opened.filter(F.col("members") > FEW)
+    each = many.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = each.groupBy("v").agg(F.max("k").alias("k")).join(each, ["v", "k"]).groupBy("v").agg(F.min("comp").alias("giant"))
+    held = many.join(largest, "v").withColumn("apart", F.col("comp") != F.col("giant"))
+    blocks = held.groupBy("v").agg(F.sum(F.when(F.col("apart"), F.col("n") * 8 + ROW_BYTES)).alias("out"))
+    held = held.join(blocks, "v").withColumn("mb", F.ceil(F.col("bytes") / BLOCK_BYTES)).withColumn("qb", F.ceil(F.col("out") / BLOCK_BYTES))
     lists = many.groupBy("nid").agg(F.collect_list("v").alias("lists"))  # at most K of them
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "comp"
-    )
-    return spread.join(lists.join(sets, "nid"), "nid").groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
+    h = F.xxhash64("nid", "v")
+    up_to = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    role = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+    answers = F.transform(up_to("qb"), lambda q: role(False, q, F.pmod(h, F.col("mb"))))
+    questions = F.transform(up_to("mb"), lambda m: role(True, F.pmod(h, F.col("qb")), m))
+    roles = F.when(F.col("apart"), F.concat(answers, questions)).otherwise(answers)
+    spread = held.select("v", "nid", "n", "comp", "apart", F.explode(roles).alias("r")).select("v", "nid", "n", "comp", "apart", "r.*")
+    full = spread.join(lists.join(sets, "nid"), "nid").select("v", "i", "j", "nid", "n", "comp", "apart", "asks", "set", "lists")
+    return full.groupBy("v", "i", "j").applyInArrow(_block_links, "a long, b long")
 
 
-def _stars(entries: DataFrame, key) -> DataFrame:
-    """Pairs of each list's centre, its smallest by ``key``, with its members of other components."""
-    centre = entries.groupBy("v").agg(F.min(F.struct(key.alias("k"), "nid", "comp")).alias("c"))
-    near = entries.join(centre, "v").filter(F.col("comp") != F.col("c.comp"))
-    return near.select(F.least("nid", F.col("c.nid")).alias("a"), F.greatest("nid", F.col("c.nid")).alias("b")).distinct()
+def _stars(entries: DataFrame, last: bool = False) -> DataFrame:
+    """Pairs of each list's smallest node, or its last one, with its members of other components."""
+    centre = entries.groupBy("v").agg((F.max if last else F.min)("nid").alias("c"))
+    comp = entries.select(F.col("nid").alias("c"), F.col("comp").alias("cc")).distinct()
+    near = entries.join(centre.join(comp, "c"), "v").filter("comp <> cc")
+    return near.select(F.least("nid", "c").alias("a"), F.greatest("nid", "c").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -247,7 +289,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ``_prefixes``). Lists are worked off by stars: all members against one
     centre, then once more with another one, so that a group of near copies is joined
     in steps linear in its size. What then remains apart within a list is
-    compared pair by pair, in blocks. Candidates pass an estimate from the
+    compared in blocks. Candidates pass an estimate from the
     union sketch and are confirmed on whole sets. The documents' own sets are
     computed anew at the end, which is cheaper than keeping their sketches.
 
@@ -257,11 +299,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     component's id unless no other is there, and is then kept. An empty table
     gives no rows; other columns are ignored. Very long texts are read whole.
     """
-    return _judged(docs).drop("sig")
+    out = _named(docs, sketches(docs).select("doc_id", "n", "sig"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """The rows of ``near_groups`` with sig, the signature of each row's set (null without shingles)."""
+def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, n, sig and others) with id, that of the component which each one's set belongs to among ``docs``."""
     spark = docs.sparkSession
     nodes = materialize(
         sketches(docs).filter("n > 0").groupBy("sig", "n", "sketch").agg(F.min("doc_id").alias("first_id")).withColumn("nid", F.monotonically_increasing_id()), "nodes"
@@ -269,20 +312,21 @@ def _judged(docs: DataFrame) -> DataFrame:
     release(spark)
     entries = materialize(_prefixes(nodes), "entries")
     release(spark)
-    listed = entries.join(entries.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v"), "v").select("v", "nid")
+    listed = entries.join(entries.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v"), "v").select("v", "nid", "n")
     listed = materialize(listed, "listed")
     wanted = nodes.join(listed.select("nid").distinct(), "nid").select("nid", "sig", "first_id")
     linker = _Linker(nodes, materialize(_whole_sets(docs, wanted), "sets"))
     release(spark)
-    linker.add(_stars(linker.with_comp(listed), F.col("nid")))
-    linker.add(_stars(linker.open_lists(listed).select("v", "nid", "comp"), F.xxhash64("nid", "v")))
+    linker.add(_stars(listed.withColumn("comp", F.col("nid"))))
+    linker.add(_stars(linker.open_lists(listed), last=True))
     linker.add(_short_pairs(linker.open_lists(listed)))
-    linker.join(materialize(_long_links(linker.open_lists(listed), linker.sets), "links"))
+    linker.take(materialize(_long_links(linker.open_lists(listed), linker.sets), "links"))
     least = linker.comps.join(nodes.select("nid", "first_id"), "nid").groupBy("comp").agg(F.min("first_id").alias("least"))
-    named = nodes.join(linker.comps, "nid", "left").join(least, "comp", "left").select("sig", F.coalesce("least", "first_id").alias("component"))
-    out = sketches(docs).select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "sig")
+    named = nodes.join(linker.comps, "nid", "left").join(least, "comp", "left").select(F.col("sig").alias("node"), F.coalesce("least", "first_id").alias("component"))
+    named = materialize(named, "named")
+    release(spark)
+    shingled = F.when(F.col("n") > 0, F.col("sig"))
+    return rows.join(named, shingled == F.col("node"), "left").withColumn("id", F.coalesce("component", "doc_id")).drop("node", "component")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -301,30 +345,35 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted.select("nid", "sig"), "sig").select("nid", "set")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __sig, the signature of each row's set."""
-    at, names = docs.columns.index("text"), [*docs.columns, "__sig"]
+def _signed(docs: DataFrame, at: int) -> DataFrame:
+    """``docs`` with n and sig, the size and signature of each row's set; the text is its column ``at``."""
+    names = [*docs.columns, "n", "sig"]
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 some = b.slice(i, 500)
-                sigs = pa.array(map(signature, shingle_sets(binary_texts(some.column(at)))), pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns, sigs], names=names)
+                sets = shingle_sets(binary_texts(some.column(at)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(signature, sets), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sig", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n", LongType()), StructField("sig", BinaryType())]))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each component that with the smallest doc_id.
 
-    Rows are judged by doc_id and shingle set together, so where several rows
+    Each row is judged by its own doc_id and shingle set, so where several rows
     carry one doc_id, or none, a copy among them does not take the others away.
-    Where several rows of a component carry the kept doc_id all of them stay.
+    Where several rows of a component carry the kept doc_id all of them stay,
+    and so do all of a component without any doc_id. Null, empty and blank
+    texts stay. Very long texts are read whole; columns may have any names; an
+    empty table gives no rows.
     """
-    gone = _judged(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__gone_sig")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__sig") == F.col("__gone_sig"))
-    return _signed(docs).join(gone, same, "left_anti").drop("__sig")
+    names = docs.columns
+    plain = shielded(docs)
+    signed = _signed(plain, names.index("text")).withColumn("doc_id", F.col(f"c{names.index('doc_id')}").cast("long"))
+    judged = _named(docs.select("doc_id", "text"), signed)
+    return judged.filter((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("id"))).select(*plain.columns).toDF(*names)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ The corpus is cut into small independent problems by content: among the grams
 of any LENGTH bytes the one with the smallest hash, the anchor, depends on
 those bytes alone, so two equal windows lie around equal anchors. Anchors that
 occur in one document only are dropped; around the others short snippets are
-collected by anchor, and each collection is solved by breadth-first backward
-extension of intervals on its Burrows-Wheeler transform.
+collected by anchor. Of snippets with the same bytes the smallest document's
+is kept; those that differ are solved by breadth-first backward extension of
+intervals on their Burrows-Wheeler transform. Buckets of anchors are as many
+as the input's bytes ask for, and a worker holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._base import BYTE_CODE, binary_texts, labels, mix, powers, read, slices
+from tidelog.llm._base import BYTE_CODE, binary_texts, free_name, frugal, labels, mix, powers, read, shielded, slices
 
 LENGTH = 50
 GRAM = 20
 CHUNK = 1 << 19  # bytes of snippets in one transform
 SEGMENT = 1 << 17  # bytes of text whose windows are looked at together
+PARTITION = 16 << 20  # bytes of text for each partition, where the session has fewer partitions
+BUCKET = 3 << 20  # bytes of text for each bucket; a partition takes its buckets one after the other
 LATE = 2**63 - 1  # the place of a null doc_id: after all others
 
-BLOB = "bucket int, kind int, doc_id long, tie long, blob binary"
+BLOB = "bucket int, kind int, doc_id long, tie long, blob binary, sub int"
 
 
 # --- Burrows-Wheeler transform and its intervals
@@ -237,16 +241,26 @@ def _unpack(blob: bytes, *types: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
+class _Deal:
+    """How ``size`` buckets are dealt to partitions: bucket b goes to partition b % n, as its part b // n."""
+
+    def __init__(self, labels: list[int], size: int):
+        self.labels, self.size = labels, max(len(labels), size)
+
+    def place(self, bucket: int) -> tuple[int, int]:
+        return self.labels[bucket % len(self.labels)], bucket // len(self.labels)
+
+
 class _Rows:
     """Collects rows of BLOB."""
 
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("blob", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("blob", pa.binary()), ("sub", pa.int32())])
 
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, bucket: int, kind: int, doc: int, tie: int, blob: bytes) -> None:
-        self.rows.append((bucket, kind, doc, tie, blob))
+    def add(self, place: tuple[int, int], kind: int, doc: int, tie: int, blob: bytes) -> None:
+        self.rows.append((place[0], kind, doc, tie, blob, place[1]))
 
     def batch(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows, strict=True)) or [[] for _ in self.schema]
@@ -273,18 +287,44 @@ def _by_doc(*keys: np.ndarray):
         yield order[a:b]
 
 
-def _to_documents(rows: _Rows, labels: list[int], kind: int, ids: np.ndarray, *values: tuple[np.ndarray, int]) -> None:
+def _to_documents(rows: _Rows, deal: _Deal, kind: int, ids: np.ndarray, *values: tuple[np.ndarray, int]) -> None:
     """Add values of documents, one blob for each bucket of documents."""
-    bucket = (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(len(labels))).astype(np.int64)
+    bucket = (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(deal.size)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     for a, z in _runs(bucket[by]):
         k = by[a:z]
-        rows.add(labels[int(bucket[k[0]])], kind, 0, 0, _pack((ids[k], 8), *((v[k], w) for v, w in values)))
+        rows.add(deal.place(int(bucket[k[0]])), kind, 0, 0, _pack((ids[k], 8), *((v[k], w) for v, w in values)))
+
+
+def _dealt(blobs: DataFrame, deal: _Deal) -> DataFrame:
+    """Blobs in the partitions of their buckets, one bucket after the other."""
+    return blobs.repartition(len(deal.labels), "bucket").sortWithinPartitions("sub")
 
 
-def _of_documents(batches, kind: int, *types: tuple[str, int]) -> list[np.ndarray] | None:
-    """The values of all blobs of one kind in a partition, or none."""
-    parts = [_unpack(blob, ("i8", 8), *types) for b in batches for blob in b.column(4).filter(pa.array(b.column(1).to_numpy() == kind)).to_pylist()]
+def _one_by_one(batches):
+    """The batches of each bucket of a partition, cut where one ends and the next begins."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        for i, j in _runs(b.column(5).to_numpy()):
+            sub = b.column(5)[i].as_py()
+            if held and sub != now:
+                yield held
+                held = []
+            now = sub
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held
+
+
+def _blobs(held: list[pa.RecordBatch], kind: int):
+    for b in held:
+        yield from b.column(4).filter(pa.array(b.column(1).to_numpy() == kind)).to_pylist()
+
+
+def _of_documents(held: list[pa.RecordBatch], kind: int, *types: tuple[str, int]) -> list[np.ndarray] | None:
+    """The values of all blobs of one kind in a bucket, or none."""
+    parts = [_unpack(blob, ("i8", 8), *types) for blob in _blobs(held, kind)]
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
 
@@ -293,14 +333,13 @@ def _of_documents(batches, kind: int, *types: tuple[str, int]) -> list[np.ndarra
 SHARED, ALONE, SEEN, SPAN = 0, 1, 2, 3
 
 
-def _anchor_blobs(labels: list[int], length: int):
+def _anchor_blobs(deal: _Deal, length: int):
     """Documents to blobs of anchor hashes by bucket. One row a hash and run of documents goes out, so that an
     anchor in a third of all documents sends no more than any other; what is shared within the run is told at once."""
-    buckets = len(labels)
 
     def run(batches):
         for b in batches:
-            docs, texts = b.column("__id").to_numpy(), binary_texts(b.column("text"))
+            docs, texts = b.column("id").to_numpy(), binary_texts(b.column("text"))
             for i, j in slices(texts, 8 << 20):
                 rows = _Rows()
                 _, _, doc, h, *_ = anchors(texts[i:j], length)
@@ -309,67 +348,64 @@ def _anchor_blobs(labels: list[int], length: int):
                 start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, dtype=np.int64)
                 count = np.diff(np.concatenate((start, [len(h)])))
                 shared = np.flatnonzero(np.repeat(count > 1, count))
-                _to_documents(rows, labels, SHARED, ids[shared], (h[shared], 6))
-                bucket = (h[start] % np.uint64(buckets)).astype(np.int64)
+                _to_documents(rows, deal, SHARED, ids[shared], (h[shared], 6))
+                bucket = (h[start] % np.uint64(deal.size)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 for a, z in _runs(bucket[by]):
                     k = start[by[a:z]]
-                    rows.add(labels[int(bucket[by[a]])], ALONE, 0, 0, _pack((h[k], 6), (ids[k], 8), ((count[by[a:z]] > 1).astype(np.uint8), 1)))
+                    rows.add(deal.place(int(bucket[by[a]])), ALONE, 0, 0, _pack((h[k], 6), (ids[k], 8), ((count[by[a:z]] > 1).astype(np.uint8), 1)))
                 yield rows.batch()
 
     return run
 
 
-def _shared_anchors(labels: list[int]):
-    """Blobs of one bucket to the anchors that documents share with another one (kind SHARED), by bucket of documents."""
+def _shared_anchors(deal: _Deal):
+    """Blobs of buckets of anchors to those that documents share with another one (kind SHARED), by bucket of documents."""
 
     def run(batches):
-        parts: list[list[np.ndarray]] = []
-        for b in batches:
-            kind = b.column(1).to_numpy()
-            yield b.filter(pa.array(kind == SHARED))
-            for blob in b.column(4).filter(pa.array(kind == ALONE)).to_pylist():
-                parts.append(_unpack(blob, ("u8", 6), ("i8", 8), ("u1", 1)))
-        if not parts:
-            return
-        h, ids, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new = _groups(h)
-        count = np.diff(np.concatenate((new, [len(order)])))
-        take = order[np.repeat(count > 1, count)]  # a hash comes once from each run of documents
-        take = take[seen[take] == 0]  # the others were told in step one
-        rows = _Rows()
-        _to_documents(rows, labels, SHARED, ids[take], (h[take], 6))
-        yield rows.batch()
+        for held in _one_by_one(batches):
+            for b in held:
+                yield b.filter(pa.array(b.column(1).to_numpy() == SHARED))
+            parts = [_unpack(blob, ("u8", 6), ("i8", 8), ("u1", 1)) for blob in _blobs(held, ALONE)]
+            if not parts:
+                continue
+            h, ids, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, new = _groups(h)
+            count = np.diff(np.concatenate((new, [len(order)])))
+            take = order[np.repeat(count > 1, count)]  # a hash comes once from each run of documents
+            take = take[seen[take] == 0]  # the others were told in step one
+            rows = _Rows()
+            _to_documents(rows, deal, SHARED, ids[take], (h[take], 6))
+            yield rows.batch()
 
     return run
 
 
 def _flags(batches):
     """One row for each document that shares anchors, with their hashes."""
-    got = _of_documents(batches, SHARED, ("u8", 6))
-    rows = _Rows()
-    if got is not None:
-        ids, h = got
-        for k in _by_doc(ids):
-            rows.add(0, SHARED, int(ids[k[0]]), 0, h[k].tobytes())
-    yield rows.batch()
+    for held in _one_by_one(batches):
+        got = _of_documents(held, SHARED, ("u8", 6))
+        rows = _Rows()
+        if got is not None:
+            ids, h = got
+            for k in _by_doc(ids):
+                rows.add((0, 0), SHARED, int(ids[k[0]]), 0, h[k].tobytes())
+        yield rows.batch()
 
 
 # --- step 2: snippets around shared anchors
 
 
-def _snippet_blobs(labels: list[int], length: int):
+def _snippet_blobs(deal: _Deal, length: int):
     """Documents with their shared anchors to blobs of snippets by bucket; equal snippets of a run go out once,
     with the smallest document, and the others' repeats are told at once."""
 
-    buckets = len(labels)
-
     def run(batches):
         import zstandard
 
         for b in batches:
-            docs, ties = b.column("__id").to_numpy(), b.column("__tie").to_numpy()
-            texts, flags = binary_texts(b.column("text")), b.column("__flags").to_pylist()
+            docs, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
+            texts, flags = binary_texts(b.column("text")), b.column("flags").to_pylist()
             for i, j in slices(texts, 8 << 20):
                 rows = _Rows()
                 data, starts, doc, h, at, first, last, whole = anchors(texts[i:j], length)
@@ -383,12 +419,13 @@ def _snippet_blobs(labels: list[int], length: int):
                 # within equal snippets: rows of the smallest document lead
                 s_h, s_w, s_id = h[order], whole[order], ids[order]
                 fresh = np.concatenate(([True], (s_h[1:] != s_h[:-1]) | (s_w[1:] != s_w[:-1]))) if len(order) else np.empty(0, dtype=bool)
+                _tell_apart(fresh, order, data, first, last - first + length, at - first)
                 lead = np.flatnonzero(fresh)
                 least = np.repeat(s_id[lead], np.diff(np.concatenate((lead, [len(order)]))))
                 later = order[s_id > least]
-                _to_documents(rows, labels, SPAN, ids[later], (tie[later], 4), ((first - base)[later], 4), ((last - base)[later] + length, 4))
+                _to_documents(rows, deal, SPAN, ids[later], (tie[later], 4), ((first - base)[later], 4), ((last - base)[later] + length, 4))
                 out = order[s_id == least]  # every place of the smallest document
-                bucket = (h[out] % np.uint64(buckets)).astype(np.int64)
+                bucket = (h[out] % np.uint64(deal.size)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 for a, z in _runs(bucket[by]):
                     r = out[by[a:z]]
@@ -396,91 +433,168 @@ def _snippet_blobs(labels: list[int], length: int):
                     pos = np.repeat(first[r], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     head = _pack((h[r], 6), (ids[r], 8), (tie[r], 4), (first[r] - base[r], 4), (size, 2), (at[r] - first[r], 1))
                     raw = zstandard.ZstdCompressor(level=3).compress(data[pos].tobytes())
-                    rows.add(labels[int(bucket[by[a]])], SEEN, 0, 0, len(head).to_bytes(4, "little") + head + raw)
+                    rows.add(deal.place(int(bucket[by[a]])), SEEN, 0, 0, len(head).to_bytes(4, "little") + head + raw)
                 yield rows.batch()
 
     return run
 
 
-def _solve(labels: list[int], length: int):
-    """Blobs of one bucket to removed ranges (kind SPAN), by bucket of documents."""
+def _tell_apart(fresh: np.ndarray, order: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> None:
+    """Set ``fresh`` where a snippet has the hashes but not the bytes of the one before it in ``order``.
+
+    Snippets are ``size`` bytes of ``data`` from ``at``, with their anchor ``anchor`` bytes in.
+    """
+    same = np.flatnonzero(~fresh)
+    for k in range(0, len(same), 20_000):
+        some = same[k : k + 20_000]
+        x, y = order[some - 1], order[some]
+        n = np.where((size[x] == size[y]) & (anchor[x] == anchor[y]), size[x], 0)
+        edge = np.concatenate(([0], np.cumsum(n)))
+        step = np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+        wrong = np.concatenate(([0], np.cumsum(data[np.repeat(at[x], n) + step] != data[np.repeat(at[y], n) + step])))
+        fresh[some[(n == 0) | (wrong[edge[1:]] != wrong[edge[:-1]])]] = True
+
+
+def _solve(deal: _Deal, length: int):
+    """Blobs of buckets of anchors to removed ranges (kind SPAN), by bucket of documents."""
 
     def run(batches):
-        import zstandard
+        for held in _one_by_one(batches):
+            for b in held:
+                yield b.filter(pa.array(b.column(1).to_numpy() == SPAN))
+            blobs = list(_blobs(held, SEEN))
+            if blobs:
+                yield _solved(blobs, deal, length)
 
-        parts, raws = [], []
-        for b in batches:
-            kind = b.column(1).to_numpy()
-            yield b.filter(pa.array(kind == SPAN))
-            for blob in b.column(4).filter(pa.array(kind == SEEN)).to_pylist():
-                n = int.from_bytes(blob[:4], "little")
-                parts.append(_unpack(blob[4 : 4 + n], ("u8", 6), ("i8", 8), ("i8", 4), ("i8", 4), ("i8", 2), ("i8", 1)))
-                raws.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
-        if not parts:
-            return
-        h, ids, tie, first, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-        data = np.frombuffer(b"".join(raws), dtype=np.uint8)
-        raws.clear()
-        parts.clear()
-        at = np.concatenate(([0], np.cumsum(size)))
-        whole = _whole(data, at, size, anchor)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, first window, last window) within the snippet
-        # equal snippets: whatever is not of the smallest document is repeated throughout
-        order, _ = _groups(h, whole, ids)
-        variant = np.zeros(len(order), dtype=bool)
-        variant[0] = True
-        variant[1:] = (h[order][1:] != h[order][:-1]) | (whole[order][1:] != whole[order][:-1])
-        lead = np.flatnonzero(variant)
-        count = np.diff(np.concatenate((lead, [len(order)])))
-        least = np.repeat(ids[order][lead], count)
-        later = order[ids[order] > least]
-        found.append((later, np.zeros(len(later), dtype=np.int64), size[later] - length))
-        # one snippet of each variant, where its anchor has several
-        rep = order[lead]
-        hs = h[rep]
-        many = np.zeros(len(rep), dtype=bool)
-        many[1:] |= hs[1:] == hs[:-1]
-        many[:-1] |= hs[1:] == hs[:-1]
-        group = np.flatnonzero(many)
-        alive = group[_plausible(data, at, size, anchor, hs[group], rep[group], length)]
-        for part in _chunks(hs[alive], size[rep[alive]]):
-            v = alive[part]
-            r = rep[v]
-            hits = repeated([data[at[k] : at[k + 1]].tobytes() for k in r], ids[r], length)
-            for k, where in zip(v, hits, strict=True):
+    return run
+
+
+def _solved(blobs: list[bytes], deal: _Deal, length: int) -> pa.RecordBatch:
+    """What is to be removed by the snippets of one bucket."""
+    import zstandard
+
+    parts, raws = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        parts.append(_unpack(blob[4 : 4 + n], ("u8", 6), ("i8", 8), ("i8", 4), ("i8", 4), ("i8", 2), ("i8", 1)))
+        raws.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
+    h, ids, tie, first, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+    data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    parts.clear()
+    raws.clear()
+    at = np.concatenate(([0], np.cumsum(size)))[:-1]
+    whole = _whole(data, at, size, anchor)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (row, first window, last window) within the snippet
+    # equal snippets: whatever is not of the smallest document is repeated throughout
+    order, _ = _groups(h, whole, ids)
+    variant = np.ones(len(order), dtype=bool)
+    variant[1:] = (h[order][1:] != h[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    _tell_apart(variant, order, data, at, size, anchor)
+    lead = np.flatnonzero(variant)
+    count = np.diff(np.concatenate((lead, [len(order)])))
+    least = np.repeat(ids[order][lead], count)
+    later = order[ids[order] > least]
+    found.append((later, np.zeros(len(later), dtype=np.int64), size[later] - length))
+    # one snippet of each variant, where its anchor has several
+    rep = order[lead]
+    hs = h[rep]
+    many = np.zeros(len(rep), dtype=bool)
+    many[1:] |= hs[1:] == hs[:-1]
+    many[:-1] |= hs[1:] == hs[:-1]
+    group = np.flatnonzero(many)
+    alive = group[_plausible(data, at, size, anchor, hs[group], rep[group], length)]
+    place = {int(rep[v]): int(v) for v in alive}
+    for row, lo, hi in _windows(data, at, size, anchor, rep[alive], hs[alive], ids, length):
+        v = place[row]
+        own = order[lead[v] : lead[v] + count[v]]
+        own = own[ids[own] == ids[row]]
+        found.append((np.repeat(own, len(lo)), np.tile(lo, len(own)), np.tile(hi, len(own))))
+    row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = _Rows()
+    _to_documents(rows, deal, SPAN, ids[row], (tie[row], 4), (first[row] + lo, 4), (first[row] + hi + length, 4))
+    return rows.batch()
+
+
+def _windows(data, at, size, anchor, rows, group, ids, length):
+    """(row, first, last windows) of each snippet that repeat a window of another snippet of its group with a smaller id.
+
+    A group of up to CHUNK bytes is solved by one transform. The windows of a
+    larger one are halved by where the anchor lies in them: windows of one half
+    have bytes around the anchor in common, by which the group falls into
+    smaller ones of shorter snippets, until these are small enough or have but
+    one window each. Snippets that become equal leave but the smallest id's.
+    """
+    todo = [(rows, group, 0, length - GRAM)]
+    while todo:
+        rows, group, least, most = todo.pop()
+        lo, hi = np.maximum(0, anchor[rows] - most), np.minimum(size[rows] - length, anchor[rows] - least)
+        some = lo <= hi
+        rows, group, lo, hi = rows[some], group[some], lo[some], hi[some]
+        by = np.lexsort((ids[rows], group))
+        rows, group, lo, hi = rows[by], group[by], lo[by], hi[by]
+        pieces = [data[a:b].tobytes() for a, b in zip((at[rows] + lo).tolist(), (at[rows] + hi + length).tolist(), strict=True)]
+        if (least, most) != (0, length - GRAM):
+            first: dict[tuple, int] = {}
+            stay = np.ones(len(rows), dtype=bool)
+            for k, key in enumerate(zip(group.tolist(), (anchor[rows] - lo).tolist(), pieces, strict=True)):
+                if ids[first.setdefault(key, rows[k])] < ids[rows[k]]:
+                    stay[k] = False
+                    yield int(rows[k]), lo[k : k + 1], hi[k : k + 1]
+            pieces = [p for p, s in zip(pieces, stay, strict=True) if s]
+            rows, group, lo, hi = rows[stay], group[stay], lo[stay], hi[stay]
+        if least == most or not len(rows):
+            continue
+        length_of = np.array([len(p) for p in pieces])
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        members = np.diff(np.concatenate((begin, [len(group)])))
+        large = np.repeat((np.add.reduceat(length_of, begin) > CHUNK) & (members > 1), members)
+        small = np.flatnonzero(~large)
+        for part in _chunks(group[small], length_of[small]):
+            k = small[part]
+            for x, where in zip(k, repeated([pieces[i] for i in k], ids[rows[k]], length), strict=True):
                 if len(where):
                     cut = np.flatnonzero(np.concatenate(([True], np.diff(where) > 1)))
-                    lo, hi = where[cut], where[np.concatenate((cut[1:], [len(where)])) - 1]
-                    own = order[lead[k] : lead[k] + count[k]]
-                    own = own[ids[own] == ids[rep[k]]]
-                    found.append((np.repeat(own, len(lo)), np.tile(lo, len(own)), np.tile(hi, len(own))))
-        row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = _Rows()
-        _to_documents(rows, labels, SPAN, ids[row], (tie[row], 4), (first[row] + lo, 4), (first[row] + hi + length, 4))
-        yield rows.batch()
-
-    return run
+                    yield int(rows[x]), lo[x] + where[cut], lo[x] + where[np.concatenate((cut[1:], [len(where)])) - 1]
+        rows, group = rows[large], group[large]
+        del pieces
+        mid = (least + most) // 2
+        for a, b in ((least, mid), (mid + 1, most)):
+            # windows that begin a to b bytes before the anchor share the bytes from a before it to the end of the first of them
+            fits = np.maximum(0, anchor[rows] - b) <= np.minimum(size[rows] - length, anchor[rows] - a)
+            r, g = rows[fits], group[fits]
+            code = _core(data, at[r] + anchor[r] - a, length - b + a)
+            order, new = _groups(g, code)
+            n = np.diff(np.concatenate((new, [len(order)])))
+            keep = np.repeat(n > 1, n)
+            todo.append((r[order][keep], np.repeat(np.arange(len(n)), n)[keep], a, b))
+
+
+def _core(data: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of ``n`` bytes from each of ``begin``."""
+    code, weight, reach = np.empty(len(begin), dtype=np.uint64), powers(n), np.arange(n)
+    for k in range(0, len(begin), 50_000):
+        code[k : k + 50_000] = (BYTE_CODE[data[begin[k : k + 50_000, None] + reach]] * weight).sum(axis=1, dtype=np.uint64)
+    return code
 
 
 def _spans(batches):
     """One row for each document with repeats: its maximal removed ranges (begin, end)."""
-    got = _of_documents(batches, SPAN, ("i8", 4), ("i8", 4), ("i8", 4))
-    rows = _Rows()
-    if got is not None:
-        ids, tie, begin, end = got
-        for k in _by_doc(ids, tie):
-            rows.add(0, SPAN, int(ids[k[0]]), int(tie[k[0]]), _merge(np.stack((begin[k], end[k]), axis=1)).astype("<u4").tobytes())
-    yield rows.batch()
+    for held in _one_by_one(batches):
+        got = _of_documents(held, SPAN, ("i8", 4), ("i8", 4), ("i8", 4))
+        rows = _Rows()
+        if got is not None:
+            ids, tie, begin, end = got
+            for k in _by_doc(ids, tie):
+                rows.add((0, 0), SPAN, int(ids[k[0]]), int(tie[k[0]]), _merge(np.stack((begin[k], end[k]), axis=1)).astype("<u4").tobytes())
+        yield rows.batch()
 
 
 def _whole(data, at, size, anchor):
     """A hash of each snippet's bytes and of where its anchor lies, block by block."""
     out = np.empty(len(size), dtype=np.uint64)
     for i in range(0, len(size), 4096):
-        some = data[at[i] : at[min(i + 4096, len(size))]]
-        lo = at[i : i + 4096] - at[i]
-        lo = lo[: len(size[i : i + 4096])]
-        n = size[i : i + 4096]
+        n, lo = size[i : i + 4096], at[i : i + 4096] - at[i]
+        some = data[at[i] : at[i] + lo[-1] + n[-1]]
         sums = np.zeros(len(some) + 1, dtype=np.uint64)
         np.cumsum(BYTE_CODE[some] * powers(len(some)), out=sums[1:])
         extra = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + anchor[i : i + 4096].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -499,14 +613,9 @@ def _plausible(data, at, size, anchor, h, row, length):
     half = (length - GRAM + 1) // 2
     centre = at[row] + anchor[row]
     alive = np.zeros(len(row), dtype=bool)
-    weight, reach = powers(GRAM + half), np.arange(GRAM + half)
     for lo in (centre - half, centre):
         ok = np.flatnonzero((lo >= at[row]) & (lo + GRAM + half <= at[row] + size[row]))
-        code = np.empty(len(ok), dtype=np.uint64)
-        for k in range(0, len(ok), 50_000):
-            some = lo[ok[k : k + 50_000]]
-            code[k : k + 50_000] = (BYTE_CODE[data[some[:, None] + reach]] * weight).sum(axis=1, dtype=np.uint64)
-        order, new = _groups(h[ok], code)
+        order, new = _groups(h[ok], _core(data, lo[ok], GRAM + half))
         count = np.diff(np.concatenate((new, [len(order)])))
         alive[ok[order[np.repeat(count > 1, count)]]] = True
     return np.flatnonzero(alive)
@@ -538,28 +647,30 @@ def _merge(x: np.ndarray) -> np.ndarray:
     return np.stack((x[new, 0], reach[np.concatenate((new[1:], [len(x)])) - 1]), axis=1)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' place in the order of doc_id and a hash that tells apart rows of one doc_id."""
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE))
-    return docs.withColumn("__id", place).withColumn("__tie", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)))
+def keyed(plain: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``plain`` with id, its rows' place in the order of doc_id, tie, a hash that tells apart rows of one doc_id, and text."""
+    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(LATE))
+    return plain.withColumnRenamed(text, "text").select("*", place.alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)).alias("tie"))
 
 
 def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
-    """__id, __spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove).
+    """id, spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove).
 
     ``base`` is from ``keyed``. The one wide exchange is that of its rows by
-    __id, which a join of the result with ``base`` uses again; the rest
+    id, which a join of the result with ``base`` uses again; the rest
     are compressed blobs of hashes and of snippets.
     """
-    buckets = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = labels(base.sparkSession, buckets)
-    told = base.select("__id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_shared_anchors(deal), BLOB)
-    told = told.repartition(buckets, "bucket").mapInArrow(_flags, BLOB)
-    flags = told.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("blob").alias("__flags"))
-    marked = base.join(flags, "__id")
-    solved = marked.mapInArrow(_snippet_blobs(deal, length), BLOB).repartition(buckets, "bucket").mapInArrow(_solve(deal, length), BLOB)
-    solved = solved.repartition(buckets, "bucket").mapInArrow(_spans, BLOB)
-    return solved.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("tie", "blob")).alias("__spans"))
+    spark = frugal(base.sparkSession)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    deal = _Deal(labels(spark, parts), -(-size // BUCKET))
+    told = _dealt(base.select("id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB), deal).mapInArrow(_shared_anchors(deal), BLOB)
+    told = _dealt(told, deal).mapInArrow(_flags, BLOB)
+    flags = told.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("flags"))
+    marked = base.join(flags, "id").select("id", "tie", "text", "flags")
+    solved = _dealt(marked.mapInArrow(_snippet_blobs(deal, length), BLOB), deal).mapInArrow(_solve(deal, length), BLOB)
+    solved = _dealt(solved, deal).mapInArrow(_spans, BLOB)
+    return solved.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tie", "blob")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -568,16 +679,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Every byte is removed that lies in a window of ``length`` bytes which also
     starts in a document with a smaller doc_id, judged on the input as it is.
     Of a character that a cut splits nothing stays. removed_spans are the
-    maximal byte ranges (begin, end).
+    maximal byte ranges (begin, end); it is the last column, and has underscores
+    after its name where a column is called so already. Columns may have any
+    names.
 
     A null text stays null; a text below ``length`` bytes stays whole. Rows
-    with one doc_id do not remove from each other. A null doc_id comes after
-    all others. Very long texts are read whole; an empty table gives no rows.
+    with one doc_id, repeated rows too, do not remove from each other. A null
+    doc_id comes after all others. Very long texts are read whole; an empty
+    table gives no rows.
     """
-    base, names = keyed(docs), docs.columns
-    joined = base.join(repeat_spans(base, length), "__id", "left").select(*[F.col(f"`{c}`") for c in names], "__tie", "__spans")
-    at = names.index("text")
-    schema = [f for f in joined.schema.fields if f.name not in ("__tie", "__spans")]
+    names = docs.columns
+    at, plain = names.index("text"), shielded(docs)
+    base = keyed(plain, f"c{names.index('doc_id')}", f"c{at}")
+    columns = ["text" if i == at else c for i, c in enumerate(plain.columns)]
+    joined = base.join(repeat_spans(base, length), "id", "left").select(*columns, "tie", "spans")
 
     def run(batches):
         for b in batches:
@@ -587,15 +702,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone.append([{"begin": int(x), "end": int(y)} for x, y in cut])
                 out.append(None if t is None else _keep(t, cut).decode("utf-8", "ignore"))
             cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=[*names, "removed_spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=[*columns, "removed"])
 
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    return joined.mapInArrow(run, T.StructType([*schema, T.StructField("removed_spans", span)]))
+    out = joined.mapInArrow(run, T.StructType([*joined.schema.fields[: len(names)], T.StructField("removed", span)]))
+    return out.toDF(*names, free_name("removed_spans", names))
 
 
 def _own(batch) -> list[np.ndarray]:
     """Each row's removed ranges: of those of its doc_id the ones that carry its text's hash."""
-    return [_merge(np.frombuffer(b"".join(x["blob"] for x in found or [] if x["tie"] == tie), "<u4").reshape(-1, 2)) for tie, found in zip(batch.column("__tie").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+    return [_merge(np.frombuffer(b"".join(x["blob"] for x in found or [] if x["tie"] == tie), "<u4").reshape(-1, 2)) for tie, found in zip(batch.column("tie").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
 
 
 def _keep(text: bytes, cut: np.ndarray) -> bytes:
@@ -607,9 +723,15 @@ def _keep(text: bytes, cut: np.ndarray) -> bytes:
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    joined = base.join(repeat_spans(base, length), "__id", "left").select("doc_id", "text", "__tie", "__spans")
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Bytes are removed as ``remove_repeats`` says. A null text counts as empty;
+    null doc_ids come after all others; each repeated row has its own row and
+    removes nothing from its like. Very long texts are read whole, other columns
+    are ignored whatever their names, and an empty table gives no rows.
+    """
+    base = keyed(docs.select(F.col("doc_id").cast("long").alias("c0"), F.col("text").alias("c1")), "c0", "c1")
+    joined = base.join(repeat_spans(base, length), "id", "left").select("c0", "text", "tie", "spans")
 
     def run(batches):
         for b in batches:
