@@ -667,7 +667,7 @@ def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     told = _dealt(base.select("id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB), deal).mapInArrow(_shared_anchors(deal), BLOB)
     told = _dealt(told, deal).mapInArrow(_flags, BLOB)
     flags = told.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("flags"))
-    marked = base.join(flags, "id").select("id", "tie", "text", "flags")
+    marked = base.join(flags, "id")  # with all columns, or the exchange of ``base`` could not be used again
     solved = _dealt(marked.mapInArrow(_snippet_blobs(deal, length), BLOB), deal).mapInArrow(_solve(deal, length), BLOB)
     solved = _dealt(solved, deal).mapInArrow(_spans, BLOB)
     return solved.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tie", "blob")).alias("spans"))
