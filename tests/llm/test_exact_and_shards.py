@@ -41,6 +41,11 @@ def test_exact_dedup_keeps_one_row_and_its_columns(spark):
         out = exact_dedup.exact_dedup(rows, keep)
         assert out.columns == rows.columns and {r["doc_id"] for r in out.collect()} == want and out.count() == 3
     assert exact_dedup.exact_dedup(rows).filter("doc_id = 3").first()["text"] is None
+    clash = ["doc_id", "text", "h", "__null", "a.b", "row", "c0"]
+    odd = docs(spark, (1, "a"), (1, "a"), (2, "b"), (3, "a")).select("doc_id", "text", *[F.lit(k) for k in range(5)]).toDF(*clash)
+    out = exact_dedup.exact_dedup(odd)
+    assert out.columns == clash and sorted(map(tuple, out.collect())) == [(1, "a", 0, 1, 2, 3, 4), (2, "b", 0, 1, 2, 3, 4)]
+    assert exact_dedup.exact_dedup(odd.limit(0)).isEmpty()
 
 
 def _feistel(x, n, seed):
@@ -107,6 +112,8 @@ def test_url_edge_cases(spark):
     assert got[4] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[5][2:] == ("example.com/en/", "block") and got[6][2] == "com/" == got[7][2]
     assert got[8][2] == "net/es/" and got[9] == ("com", "", None, "allow") and got[10][2] is None and got[11][1:3] == ("/en/a", "example.com/en/")
     assert got[None][2] == "com/" and got[12][:2] == ("É.com", "/ü")
+    clash = url_filter.filter_urls(pages.select("page_id", "url", *[F.lit(1)] * 6).toDF("page_id", "url", "cell", "key", "host", "path", "rule", "a.b"), rules, cells=3)
+    assert {tuple(r)[:1] + tuple(r)[3:] for r in clash.collect()} == {(k, *v[2:]) for k, v in got.items()}
     assert url_filter.filter_urls(pages.limit(0), rules).isEmpty() and url_filter.filter_urls(pages, rules.limit(0)).filter("rule IS NOT NULL").isEmpty()
 
 
