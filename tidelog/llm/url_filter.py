@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,35 +38,55 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\0"), F.lit("\0"))
 
 
-def _end(key: str) -> str:
-    return key + "\U0010ffff"
+class _Open:
+    """The rules of one host that is open in the sweep: their paths, by how long they are."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.paths, self.sizes = key, host, {}, []
+
+    def add(self, path: str, verdict: str) -> None:
+        self.paths[path] = verdict
+        if len(path) not in self.sizes:
+            self.sizes = sorted([*self.sizes, len(path)], reverse=True)
+
+    def longest(self, path: str) -> str | None:
+        """The longest of the paths that ``path`` starts with; as many look-ups as they have lengths."""
+        return next((path[:n] for n in self.sizes if path[:n] in self.paths), None)
 
 
 def _sweep(default: str):
-    """Match rows sorted by (cell, key, kind): kind 0 opens a host's rules, kind 1 is a URL."""
+    """Match rows sorted by (cell, key, kind): kind 0 is a rule, at its host's key; kind 1 a URL.
+
+    Hosts that are open form a stack, as their intervals nest. It changes only
+    between keys; URLs of one host that also have one path are matched once.
+    """
 
     def run(batches):
         cell, stack = None, []
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.cell != cell:
-                    cell, stack = r.cell, []
-                while stack and not r.key.startswith(stack[-1][0]):
-                    stack.pop()
-                if r.kind == 0:
-                    stack.append((r.key, r.rule_host, dict(zip(r.rule_paths, r.rule_verdicts, strict=True))))
-                    continue
-                best = None
-                for _, host, paths in stack:
-                    if r.host != host and not r.host.endswith("." + host):
-                        continue
-                    fits = [p for p in paths if r.path.startswith(p)] if len(paths) < 8 else [r.path[:n] for n in {*map(len, paths)} if r.path[:n] in paths]
-                    for p in fits:
-                        if best is None or (len(host) + len(p), len(host)) > best[0]:
-                            best = ((len(host) + len(p), len(host)), host + p, paths[p])
-                out.append((r.page_id, r.host, r.path, best and best[1], best[2] if best else default))
-            yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": "Int64"})
+        for b in batches:
+            cells, keys, kinds, hosts, paths, verdicts = (b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+            rule, verdict, before, found = [], [], None, (None, default)
+            for c, key, kind, host, path, says in zip(cells, keys, kinds, hosts, paths, verdicts, strict=True):
+                if c != cell:
+                    cell, stack, before = c, [], None
+                if key != before or not kind:
+                    while stack and not key.startswith(stack[-1].key):
+                        stack.pop()
+                    before = key
+                    if not kind:
+                        if not stack or stack[-1].key != key:
+                            stack.append(_Open(key, host))
+                        stack[-1].add(path, says)
+                        before = None
+                    else:
+                        fits = [(len(o.host) + len(p), len(o.host), o, p) for o in stack if (host == o.host or host.endswith("." + o.host)) and (p := o.longest(path)) is not None]
+                        best = max(fits, key=lambda x: x[:2], default=None)
+                        found = (best[2].host + best[3], best[2].paths[best[3]]) if best else (None, default)
+                rule.append(found[0])
+                verdict.append(found[1])
+            urls = pa.array(kinds, pa.int32()).to_numpy() == 1
+            out = pa.RecordBatch.from_arrays([b.column(3), b.column(4), b.column(5), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            yield out.filter(pa.array(urls))
 
     return run
 
@@ -81,8 +102,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", cell
     A host's reversed labels are a prefix of those of its subdomains, so a
     rule covers an interval of keys. URLs are cut into cells of the key order
     (ties cut by a hash of the row, so that one hot URL fills many cells), a
-    rule is sent to the cells that its interval meets, and one sorted sweep of
-    each cell keeps the stack of hosts that are open. Intervals nest, so a
+    rule, one row each, is sent to the cells that its interval meets, and one
+    sorted sweep of each cell keeps the stack of hosts that are open. Intervals nest, so a
     cell receives few rules besides those that begin in it. The cuts come from
     a sample; they balance the work and do not change results.
 
@@ -102,27 +123,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", cell
     def cell_of(key: pd.Series, salt: pd.Series) -> pd.Series:
         return pd.Series([bisect_right(cuts, (k, s)) for k, s in zip(key, salt, strict=True)], dtype="int32")
 
-    by_host = (
+    single = (
         rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").filter("host IS NOT NULL AND path IS NOT NULL")
-        .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "verdict"))).alias("r"))
-        .withColumn("key", host_key(F.col("host")))
+        .groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
         .withColumn("first", cell_of("key", F.lit(-(2**63)).cast("long")))
         .withColumn("last", cell_of(F.concat("key", F.lit("\U0010ffff")), F.lit(2**63 - 1)))
     )
-    opened = by_host.select(
-        F.explode(F.sequence("first", "last")).alias("cell"), "key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("salt"),
-        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
-        F.col("host").alias("rule_host"), F.col("r.path").alias("rule_paths"), F.col("r.verdict").alias("rule_verdicts"),
-    )
-    no = F.lit(None).cast("array<string>")
-    both = urls.select(
-        cell_of("key", "salt").alias("cell"), "key", F.lit(1).alias("kind"), "salt", "page_id", "host", "path",
-        F.lit(None).cast("string").alias("rule_host"), no.alias("rule_paths"), no.alias("rule_verdicts"),
-    ).unionByName(opened)
+    opened = single.select(F.explode(F.sequence("first", "last")).alias("cell"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    both = urls.select(cell_of("key", "salt").alias("cell"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(opened)
     return (
         both.repartition(n, "cell").sortWithinPartitions("cell", "key", "kind")
-        .mapInPandas(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
+        .mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
     )
 
 
