@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm._base import materialize, read, text_of
 
 CAPACITY = 2048
-SMALLEST = 1
 END_ID = 1
+#: A rest of fewer tokens is not cut again: what its sequences lack is a small share of them.
+SMALLEST = 128
 
-PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, nth long"
+PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, class int, bin long, offset long, nth long"
 
 
 def word_bpe_path() -> str:
@@ -27,92 +31,123 @@ def word_bpe_path() -> str:
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
     """Lengths of the pieces of n tokens, in order.
 
-    Whole sequences first, then halves, quarters and so on down to
-    ``smallest``, each at most once, then the rest: so each length belongs to
-    one reciprocal class, that of capacity // length pieces a sequence. Where
-    the capacity is a power of two the pieces of a class fill their sequences.
+    Whole sequences first. A rest of class k (k of its length fit a sequence,
+    but not k + 1) stays whole where it nearly fills its place of capacity / k
+    tokens, or is short; else the largest place of the next class is cut from
+    it, which leaves less than a k-th of it.
     """
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity // 2
-    while size >= smallest and rest:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        else:
-            size //= 2
-    while rest:  # only where a halved size was rounded down can this be more than one piece
-        out.append(min(rest, max(size, smallest) if rest > smallest else rest))
-        rest -= out[-1]
+    out, rest = [capacity] * (n // capacity), n % capacity
+    while rest:
+        k = capacity // rest
+        size = rest if rest < smallest or 32 * rest >= 31 * (capacity // k) else capacity // (k + 1)
+        out.append(size)
+        rest -= size
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document's tokens, closed by ``end_id``, numbered by task and length.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
+    """Pieces of every document's tokens, closed by ``end_id``, in the bins of their classes.
 
-    ``ids`` are little-endian unsigned 32-bit integers. ``nth`` counts the
-    pieces of one length within one task, ``part``.
+    A piece of class k shares a bin with k - 1 others; each task fills bins on
+    its own. ``bin`` and ``offset`` are null for the pieces of a task's last,
+    incomplete bin of a class, of which ``nth`` counts the pieces. ``ids`` are
+    little-endian unsigned 32-bit integers, or their CRC-32 in as many bytes.
+    A task holds at most one open bin of each class, of which there are about
+    twice the root of the capacity.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()),
+        ("part", pa.int32()), ("class", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("nth", pa.int64()),
+    ])
     end = int(end_id).to_bytes(4, "little")
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
     def run(batches):
         from tidelog.llm import _words
 
         encode = _words.shared(tokenizer).ids
-        part = TaskContext.get().partitionId()
-        nth: dict[int, int] = defaultdict(int)
-        for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        part, filled = TaskContext.get().partitionId(), 0
+        opened: dict[int, list[tuple]] = defaultdict(list)
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n, at = len(ids) // 4, 0
                 for size in cuts(n, capacity):
-                    for col, v in zip(cols, (doc, at, size, n, ids[4 * at : 4 * (at + size)], part, nth[size]), strict=True):
-                        col.append(v)
-                    nth[size] += 1
+                    own, k = ids[4 * at : 4 * (at + size)], capacity // size
+                    mates = opened[k]
+                    mates.append((doc, at, size, n, zlib.crc32(own).to_bytes(4, "little") if checksums else own))
+                    if len(mates) == k:
+                        offset = 0
+                        for p in mates:
+                            rows.append((*p, part, k, filled, offset, None))
+                            offset += p[2]
+                        filled += 1
+                        del opened[k]
                     at += size
-                if len(cols[0]) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-                    cols = [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+        yield batch([(*p, part, k, None, None, i) for k, mates in sorted(opened.items()) for i, p in enumerate(mates)])
 
     return text_of(docs).mapInArrow(run, PIECE)
 
 
+def _fit(capacity: int):
+    """The last pieces of all classes to common sequences: by falling length, each where it leaves the least room."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length, doc, start = (table.column(c).to_pylist() for c in ("length", "doc_id", "start"))
+        room: list[tuple[int, int]] = []  # of each sequence, ascending, with its number
+        at, offset, made = [0] * len(length), [0] * len(length), 0
+        for i in sorted(range(len(length)), key=lambda i: (-length[i], doc[i] is None, doc[i] or 0, start[i])):
+            k = bisect_left(room, (length[i], -1))
+            left, number = room.pop(k) if k < len(room) else (capacity, made)
+            made = max(made, number + 1)
+            at[i], offset[i] = number, capacity - left
+            if left > length[i]:
+                insort(room, (left - length[i], number))
+        return table.append_column("at", pa.array(at, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    return run
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset in place of part and nth.
-
-    Pieces of one length make up a class; a sequence takes capacity // length
-    of them, so tasks fill their share knowing only how many pieces of the
-    class came before theirs. Those counts have one row per task and length.
-    What is left of each class, less than one sequence, is laid out by falling
-    length: for a power of two as capacity, whose classes divide each other,
-    in common sequences without gaps, so that only the last of all is padded;
-    else in a sequence of its own.
+    """``pieces`` with sequence_id and offset in place of part, class, bin and nth.
+
+    A bin that a task has filled is a sequence. What tasks leave open of a
+    class is numbered on, task after task, from counts with one row a task and class,
+    and every k of it make a sequence. At the end fewer than k pieces of each
+    class are left, some thousands in all whatever the input (fewer than the
+    capacity times the logarithm of it); these share sequences.
     """
     placed = materialize(pieces, "pieces")
-    counts = placed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    each = F.greatest(F.floor(F.lit(capacity) / F.col("length")), F.lit(1)).cast("long")
-    whole = (F.col("n") - F.col("n") % each) / each
-    larger = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).withColumn("whole", whole.cast("long")).withColumn("rest", F.col("n") % each)
-    share = F.col("rest") * F.col("length") if capacity & (capacity - 1) == 0 else (F.col("rest") > 0).cast("long") * capacity
-    lengths = lengths.select(
-        "length", "whole", F.coalesce(F.sum("whole").over(larger), F.lit(0)).alias("first"),
-        F.sum("whole").over(Window.partitionBy()).alias("wholes"), F.coalesce(F.sum(share).over(larger), F.lit(0)).alias("used"),
-    )
-    at = counts.join(F.broadcast(lengths), "length").drop("n")  # at most capacity lengths
-    place = F.col("before") + F.col("nth")
-    left = place - F.col("whole") * each  # from 0 among what is left of the class; negative in whole sequences
-    tokens = F.col("used") + left * F.col("length")
-    in_whole = left < 0
-    return placed.join(at, ["part", "length"]).select(
-        *[c for c in placed.columns if c not in ("part", "nth")],
-        F.when(in_whole, F.col("first") + (place - place % each) / each).otherwise(F.col("wholes") + (tokens - tokens % capacity) / capacity).cast("long").alias("sequence_id"),
-        F.when(in_whole, place % each * F.col("length")).otherwise(tokens % capacity).cast("long").alias("offset"),
-    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy("part").agg((F.coalesce(F.max("bin"), F.lit(-1)) + 1).alias("bins"))
+    tasks = tasks.select("part", F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("first"), F.sum("bins").over(Window.partitionBy()).alias("all_bins"))  # one row a task
+    rest = placed.filter("bin IS NULL")
+    counts = rest.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = F.floor(F.sum("n") / F.first("class"))
+    classes = counts.groupBy("class").agg(whole.alias("whole"))  # about 90 at a capacity of 2048
+    classes = classes.select("class", "whole", F.coalesce(F.sum("whole").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("whole").over(Window.partitionBy()).alias("wholes"))
+    keep = [c for c in placed.columns if c not in ("part", "class", "bin", "offset", "nth")]
+    full = placed.filter("bin IS NOT NULL").join(tasks, "part").select(*keep, (F.col("first") + F.col("bin")).cast("long").alias("sequence_id"), "offset")
+    total = tasks.agg(F.max("all_bins").alias("all_bins"))  # one row
+    left = rest.join(counts.join(F.broadcast(classes), "class").drop("n"), ["part", "class"]).crossJoin(F.broadcast(total))
+    left = left.withColumn("place", F.col("before") + F.col("nth"))
+    full_left = left.filter(F.col("place") < F.col("whole") * F.col("class"))
+    full_left = full_left.withColumn("sequence_id", (F.col("all_bins") + F.col("base") + F.floor(F.col("place") / F.col("class"))).cast("long"))
+    ahead = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    full_left = full_left.select(*keep, "sequence_id", F.coalesce(ahead, F.lit(0)).cast("long").alias("offset"))
+    last = left.filter(F.col("place") >= F.col("whole") * F.col("class")).select(*keep, (F.col("all_bins") + F.col("wholes")).cast("long").alias("from"), F.lit(0).alias("all"))
+    schema = T.StructType([*last.schema.fields, T.StructField("at", T.LongType()), T.StructField("offset", T.LongType())])
+    last = last.groupBy("all").applyInArrow(_fit(capacity), schema).select(*keep, (F.col("from") + F.col("at")).alias("sequence_id"), "offset")
+    return full.unionByName(full_left).unionByName(last)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -121,15 +156,18 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     Every document yields its tokens and an end token; a null or empty text
     yields the end token alone. Repeated rows and null doc_ids are packed as
     they come, very long texts fill sequences of their own before their rest
-    is cut. An empty table gives no rows; other columns are ignored.
+    is cut. An empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     return pack(token_pieces(docs, tokenizer or word_bpe_path(), capacity), capacity)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    pieces = token_pieces(docs, word_bpe_path())
-    packed = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """``pack_documents`` with ids_crc32, the CRC-32 of a piece's ids, in place of ids; odd rows are treated as there."""
+    packed = pack(token_pieces(docs, word_bpe_path(), checksums=True))
+    little = F.concat(*[F.substring(F.hex("ids"), i, 2) for i in (7, 5, 3, 1)])
+    crc = F.conv(little, 16, 10).cast("long")
+    return packed.select("doc_id", "start", "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +180,3 @@ def padding(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     each = packed.groupBy("sequence_id").agg(size.alias("n"))
     power = F.bit_count("n") == 1
     return each.agg(F.count(F.lit(1)).alias("sequences"), F.sum("n").alias("tokens"), F.sum(F.when(power, 0).otherwise(capacity - F.col("n"))).alias("padding"))
-
-
