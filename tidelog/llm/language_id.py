@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm._base import binary_texts, read, slices, text_of
+from tidelog.llm._base import binary_texts, frugal, materialize, read, slices, text_of
 
 DIMS = 1 << 13
 PER_LANGUAGE = 600  # labelled rows for each language that the fit may use
-LANGUAGES = 256  # the most frequent languages that can be learned
 CLUSTERS = 3
 REJECT = 0.08  # cosine below which no centroid is near, whatever the text
 BANDS = DIMS.bit_length() + 1  # texts by the bit length of their number of distinct grams
@@ -32,28 +31,22 @@ _CAPITAL[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = 32
 def ngram_counts(texts: list[bytes]) -> np.ndarray:
     """Hashed counts of byte bigrams, trigrams and 4-grams, one row for each text.
 
-    Letters are lower-cased, other ASCII counts as one space; grams do not
-    cross texts and hold at most one space.
+    Letters are lower-cased, other ASCII counts as one space; a text begins
+    and ends with a space; grams do not cross texts, whatever stands beside one.
     """
-    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    raw = np.frombuffer(b"".join([b" " + t + b" " for t in texts]), dtype=np.uint8)
     x = _FOLD[raw]
     x[1:] += np.where(raw[:-1] == 0xC3, _CAPITAL[raw[1:]], 0).astype(np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(starts))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 2 for t in texts])
     keep = np.ones(len(x), dtype=bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-    if len(keep) and x[0] == 32:
-        keep[0] = False
-    x, doc = x[keep], doc[keep]
-    x = np.concatenate(([32], x, [32, 32, 32])).astype(np.uint32)  # each text ends in a space; the first gets one before it
-    doc = np.concatenate((doc[:1], doc, doc[-1:].repeat(3)))
-    code, out = x[:-3].copy(), np.zeros(len(texts) * DIMS, dtype=np.float32)
+    keep[1:] = (x[1:] != 32) | (x[:-1] != 32) | (doc[1:] != doc[:-1])
+    x, doc = np.concatenate((x[keep], [32, 32, 32])).astype(np.uint32), np.concatenate((doc[keep], [-1, -1, -1]))
+    code, own, out = x[:-3].copy(), doc[:-3], np.zeros(len(texts) * DIMS, dtype=np.float32)
     for n in (1, 2, 3):
-        nxt = x[n : len(x) - 3 + n]
-        code = code | (nxt << np.uint32(8 * n))
-        same = (doc[: len(code)] == doc[n : len(doc) - 3 + n]) if n > 1 else slice(None)
+        code = code | (x[n : len(x) - 3 + n] << np.uint32(8 * n))
+        same = own == doc[n : len(doc) - 3 + n]
         h = (code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - 13)
-        out += np.bincount((doc[: len(code)] * DIMS + h)[same], minlength=len(out)).astype(np.float32)
+        out += np.bincount((own * DIMS + h)[same], minlength=len(out)).astype(np.float32)
     return out.reshape(len(texts), DIMS)
 
 
@@ -116,48 +109,77 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
-    """A model of the languages in ``labelled`` (doc_id, text, lang).
+    """A model of the languages in ``labelled`` (doc_id, text, lang), however many there are.
 
-    A bounded sample is used: for each of the ``LANGUAGES`` most frequent
-    languages about ``per_language`` rows, those whose doc_id hashes lowest.
-    Null languages and texts are left out. Without rows every text with a
+    A bounded sample is used: of each language the ``per_language`` rows whose
+    doc_id and text hash lowest, so that the model depends on the rows alone.
+    Each language is fitted in a task of its own; the driver holds ``clusters``
+    centroids a language and no rows. Null languages and texts are left out;
+    repeated rows count once. Without rows every text with a
     letter is ``und``. The bounds of rejection come from all rows.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    frugal(labelled.sparkSession)
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    # only keys are ranked, at most per_language of each language from a task
+    keys = rows.select("lang", F.xxhash64("doc_id", F.lit(11)).alias("k"), F.xxhash64("text").alias("t"))
+    ranked = keys.withColumn("place", F.dense_rank().over(Window.partitionBy("lang").orderBy("k", "t"))).filter(F.col("place") <= per_language)
+    last = materialize(ranked.groupBy("lang").agg(F.max(F.struct("k", "t")).alias("last")), "last")  # one row a language
+    chosen = rows.withColumn("key", F.struct(F.xxhash64("doc_id", F.lit(11)).alias("k"), F.xxhash64("text").alias("t"))).join(last, "lang").filter("key <= last").dropDuplicates(["lang", "key"])
+    sample = materialize(chosen.select("text", "lang").mapInArrow(_packed_counts, "lang string, at binary, n binary"), "sample")
+    held = sample.mapInArrow(_holders, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # at most DIMS rows
+    if not held:
         return Model([], np.zeros((0, DIMS), dtype=np.float32), np.ones(DIMS, dtype=np.float32), "und", np.zeros(BANDS))
-    at_most = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(place < at_most[F.col("lang")])
-
-    def count(batches):
-        for b in batches:
-            texts, langs = binary_texts(b.column(1)), b.column(2).to_pylist()
-            for a, z in slices(texts, 1 << 20):
-                for i in range(a, z, 128):
-                    c = ngram_counts(texts[i : min(i + 128, z)])
-                    packed = [(np.flatnonzero(r).astype("<u2").tobytes(), r[r > 0].astype("<f4").tobytes()) for r in c]
-                    yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + len(c)], pa.string()), *(pa.array(v, pa.binary()) for v in zip(*packed, strict=True))], names=["lang", "at", "n"])
-
-    limit = 2 * per_language * len(sizes) + 1000  # only a bound on what the driver holds; the hash keeps about half of it
-    found = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(count, "lang string, at binary, n binary").limit(limit).collect())
-    counts = np.zeros((len(found), DIMS), dtype=np.float32)
-    for i, (_, at, n) in enumerate(found):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    idf = (np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    v, langs = weighted(counts, idf), np.array([x[0] for x in found])
-    names, centroids = [], []
-    for lang in sorted(set(langs)):
-        own = v[langs == lang]
-        for c in _clusters(own, clusters):
-            names.append(str(lang))
-            centroids.append(c)
-    model = Model(names, np.array(centroids, dtype=np.float32).reshape(len(names), DIMS), idf, sizes[0]["lang"], np.zeros(BANDS))
+    total, having = 0, np.zeros(DIMS)
+    for r in held:
+        if r["at"] < 0:
+            total = r["n"]
+        else:
+            having[r["at"]] = r["n"]
+    idf = (np.log((1 + total) / (1 + having)) + 1).astype(np.float32)
+
+    def centroids(table: pa.Table) -> pa.Table:
+        grams = sorted(zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True))  # in an order that does not depend on tasks
+        own = _clusters(weighted(_dense(*zip(*grams, strict=True)), idf), clusters)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(own), pa.string()), "centroid": pa.array([c.astype("<f4").tobytes() for c in own], pa.binary())})
+
+    found = sorted((r["lang"], bytes(r["centroid"])) for r in sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect())
+    default = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").first()["lang"]
+    matrix = np.stack([np.frombuffer(c, "<f4") for _, c in found])
+    model = Model([lang for lang, _ in found], matrix, idf, default, np.zeros(BANDS))
     model.least = _bounds(rows, model)
     return model
 
 
+def _packed_counts(batches):
+    """text, lang to lang and the grams' places and counts."""
+    for b in batches:
+        texts, langs = binary_texts(b.column(0)), b.column(1).to_pylist()
+        for a, z in slices(texts, 1 << 20):
+            for i in range(a, z, 128):
+                c = ngram_counts(texts[i : min(i + 128, z)])
+                packed = [(np.flatnonzero(r).astype("<u2").tobytes(), r[r > 0].astype("<f4").tobytes()) for r in c]
+                yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + len(c)], pa.string()), *(pa.array(v, pa.binary()) for v in zip(*packed, strict=True))], names=["lang", "at", "n"])
+
+
+def _holders(batches):
+    """How many rows have a gram at each place; at -1 how many rows there are."""
+    held, rows = np.zeros(DIMS, dtype=np.int64), 0
+    for b in batches:
+        for at in b.column(1).to_pylist():
+            held[np.frombuffer(at, "<u2")] += 1
+            rows += 1
+    if rows:
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([rows, *held[at].tolist()], pa.int64())], names=["at", "n"])
+
+
+def _dense(places, counts) -> np.ndarray:
+    out = np.zeros((len(places), DIMS), dtype=np.float32)
+    for row, at, n in zip(out, places, counts, strict=True):
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
+    return out
+
+
 def _bounds(rows: DataFrame, model: Model) -> np.ndarray:
     """The cosine that a text of each band needs: ``MARGIN`` of the least of all training rows there.
 
@@ -206,7 +228,9 @@ def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
 
     A text without a letter, a null and an empty one are rejected, and any
     whose nearest centroid lies beyond ``reject`` or the bound for texts of as
-    many grams; all others stay as they are.
+    many grams; all others stay as they are. Whole texts are read, however
+    long; repeated rows and null doc_ids are judged as they come; columns may
+    have any names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -232,4 +256,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = predict(docs, fit(training(docs)))
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
