@@ -29,33 +29,47 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup share sharing social sidebar sidenav aside menu nav navbar navigation navi breadcrumb breadcrumbs masthead topbar toolbar footer foot comment comments commentlist "
     "disqus reply replies respond responses discussion related recommended recirc widget login paywall pagination pager skip search tags copyright disclaimer legal".split()
 )
+#: Words that may stand beside one of NAMES without telling of anything else.
+BESIDE = frozenset(
+    "a area article articles bar block blocks body bottom box btn button buttons by center column container content cols entry form group header holder icons in inner item items left link links list "
+    "main module outer page panel policy post posts primary reader region right row secondary section side site slot small stories story text title to top unit user wrap wrapper you your".split()
+)
+#: Classes and ids that mark the head of a site, not that of an article.
+HEADS = frozenset("header site-header page-header global-header main-header top-header header-bar header-wrapper".split())
 #: Elements that a start tag closes where one is open, up to the element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words before a name in a class or id that say what a wrapper has beside it, not what it is.
-HAVING = frozenset("has with no without".split())
-ENOUGH = 200  # characters of paragraphs outside all named elements from which names are trusted
+PROSE = frozenset(("p", "pre", "blockquote", *HEADINGS))
+PAGE = frozenset(("#page", "html", "body"))
 UP = 5  # generations that a paragraph passes points to
+LOWERED = 0.1  # of its points stay with a container that a class or id names as furniture, and pass on from it
+BONUS = 1.5  # for containers inside an article or main element
+BELONGS = 0.2  # of the best score that a neighbour of its own needs
 
 
 class Node:
-    __slots__ = ("chars", "children", "gone", "linked", "named", "parent", "points", "tag")
+    """``block`` is the nearest element that is not inline, ``chars`` and ``linked`` the text below it, ``prose`` its unlinked part in paragraphs."""
+
+    __slots__ = ("block", "chars", "children", "gone", "linked", "named", "parent", "points", "prose", "tag", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.gone, self.named = tag, parent, gone, False
+    def __init__(self, tag: str, parent: Node | None, gone: bool = False, named: bool = False):
+        self.tag, self.parent, self.gone, self.named = tag, parent, gone, named
+        self.block = self if parent is None or tag not in INLINE else parent.block
         self.children: list = []
-        self.points = 0.0
-        self.chars = self.linked = 0
+        self.points, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
+        self.weight = 1.0 if parent is None else parent.weight
+        if named:
+            self.weight *= LOWERED
+        if tag in ("article", "main") and self.weight < BONUS:
+            self.weight *= BONUS
 
 
 def _is_name(value: str) -> bool:
-    """Whether a class or id has a word of NAMES that no word of HAVING leads."""
+    """Whether a class or id says nothing but names of furniture: each word of one of its parts is one of NAMES or stands beside one."""
     for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
-        before = ""
-        for word in re.split(r"[^a-z]+", one):
-            if word in NAMES and before not in HAVING:
-                return True
-            before = word
+        words = [w for w in re.split(r"[^a-z]+", one) if w]
+        if one in HEADS or (any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words)):
+            return True
     return False
 
 
@@ -65,10 +79,10 @@ def _named(tag: str, rest: str) -> bool:
     return any((m[1] or m[5]).lower() in ("class", "id") and _is_name(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest))
 
 
-def _surrounds(tag: str, rest: str, stack: list[Node]) -> bool:
+def _surrounds(tag: str, rest: str, in_article: bool) -> bool:
     if tag in ASIDE:
         return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+    if tag == "header" and not in_article:
         return True
     if not rest or rest.isspace():
         return False
@@ -84,11 +98,39 @@ def _surrounds(tag: str, rest: str, stack: list[Node]) -> bool:
     return False
 
 
-def parse(html: str) -> Node:
-    """A tree of the page; unclosed and misnested tags are closed as browsers roughly do."""
+class _Open:
+    """The open elements, with where those of each tag and the blocks among them lie, so that none has to be searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.where, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """Where the innermost element of one of the tags lies; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        """Close the element at this place and all that are open inside it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """A tree of the page and its nodes in page order; unclosed and misnested tags are closed as browsers roughly do.
+
+    Each tag costs the same however deep it stands.
+    """
     root = Node("#page", None)
-    stack, at, n = [root], 0, len(html)
-    nodes = [root]
+    opened, at, n = _Open(root), 0, len(html)
+    nodes, stack = [root], opened.stack
 
     def text(piece: str) -> None:
         if piece:
@@ -110,83 +152,33 @@ def parse(html: str) -> Node:
             continue
         tag, rest = m[2].lower(), m[3]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            k = opened.last((tag,))
+            if k and (tag not in INLINE or k > opened.blocks[-1]):  # no end of an inline element goes beyond its block
+                opened.close(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = n if end is None else (html.find(">", end.end()) + 1 or n)
             continue
         if tag not in INLINE:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or (tag in HEADINGS and stack[k].tag in HEADINGS):
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+            k = opened.blocks[-1]
+            if stack[k].tag == "p" or (tag in HEADINGS and stack[k].tag in HEADINGS):
+                opened.close(k)
             if tag in CLOSES:
                 shut, bound = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in bound:
+                while (k := opened.last(shut)) > opened.last(bound):
+                    opened.close(k)
+                    if tag != "tr":
                         break
-                    if stack[k].tag in shut:
-                        del stack[k:]
-                        if tag != "tr":
-                            break
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and opened.last((tag,)):
             continue
-        node = Node(tag, stack[-1], stack[-1].gone or _surrounds(tag, rest, stack))
-        node.named = not node.gone and _named(tag, rest)
+        gone = stack[-1].gone or _surrounds(tag, rest, opened.last(("article", "main")) > 0)
+        node = Node(tag, stack[-1], gone, not gone and _named(tag, rest))
         nodes.append(node)
         stack[-1].children.append(node)
         if tag not in VOID and not (tag in ("svg", "math") and rest.endswith("/")):
-            stack.append(node)
-    if any(x.named for x in nodes):
-        _settle(nodes)
-    return root
-
-
-def _settle(nodes: list[Node]) -> None:
-    """Drop the elements that a class or id names as furniture, but no wrapper of the page's text.
-
-    ``nodes`` are in page order, parents first. A wrapper holds the article or
-    main with the most paragraph text, or most of the page's paragraph text
-    where hardly any stands outside such elements.
-    """
-    at = {id(x): k for k, x in enumerate(nodes)}
-    up = [0 if x.parent is None else at[id(x.parent)] for x in nodes]
-    size, para, link, inner = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes), [False] * len(nodes)
-    for k, x in enumerate(nodes):
-        para[k] = x.tag in ("p", "pre", "blockquote") or (k > 0 and para[up[k]])
-        link[k] = x.tag == "a" or (k > 0 and link[up[k]])
-        inner[k] = k > 0 and (inner[up[k]] or nodes[up[k]].tag in ("article", "main"))
-        if para[k] and not link[k] and not x.gone:
-            size[k] = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
-    held, clear = size[:], size[:]  # text below each node, and that outside of named ones
-    for k in range(len(nodes) - 1, 0, -1):
-        held[up[k]] += held[k]
-        if not nodes[k].named:
-            clear[up[k]] += clear[k]
-    tops = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.gone and not inner[k]]
-    wraps = set()
-    if tops:
-        k = max(tops, key=lambda k: held[k])
-        while k:
-            k = up[k]
-            wraps.add(k)
-    free = clear[0]
-    for k, x in enumerate(nodes):
-        if k and nodes[up[k]].gone:
-            x.gone = True
-        elif x.named and k not in wraps:
-            if not tops and free < ENOUGH <= held[k] and 2 * held[k] > held[0]:
-                free += clear[k]
-            else:
-                x.gone = True
+            opened.push(node)
+    return root, nodes
 
 
 def _walk(top: Node):
@@ -209,9 +201,8 @@ def _walk(top: Node):
                 yield "close", node, path[-1]
 
 
-def _score(root: Node) -> list[Node]:
-    """Give points to the ancestors of each block of text; the elements that have points."""
-    scored: list[Node] = []
+def _score(root: Node, nodes: list[Node]) -> None:
+    """Give points to the ancestors of each block of text, for its length and commas, less where it is linked."""
     buffer: list[str] = []
     link_depth, linked = 0, 0
 
@@ -223,23 +214,21 @@ def _score(root: Node) -> list[Node]:
         linked = 0
         if not n:
             return
-        points = (1 + sum(map(words.count, ",،、，")) + min(n / 100, 3)) * (1 - links / n)
-        while block.tag in INLINE and block.parent is not None:
-            block = block.parent
-        node = block.parent if block.tag in ("p", "pre", "blockquote", "li", "td", *HEADINGS) and block.parent is not None else block
+        block.chars += n
+        block.linked += links
+        if block.tag in PROSE:
+            block.prose += n - links
         if block.tag in HEADINGS:
-            points = 0.0
-        up, share = node, 1.0
-        step = 1
-        while up is not None:
-            up.chars += n
-            up.linked += links
-            if step <= UP:
-                if points and not up.points:
-                    scored.append(up)
-                up.points += points * share
-            step += 1
-            share = 1.0 / step
+            return
+        points = (1 + min(sum(map(words.count, ",،、，")), n / 20) + min(n / 100, 3)) * (1 - links / n)
+        below = block if block.tag in ("p", "pre", "blockquote", "li", "td") and block.parent is not None else None
+        up, share = (block.parent, LOWERED if block.named else 1.0) if below else (block, 1.0)
+        for step in range(1, UP + 1):
+            if up is None:
+                break
+            up.points += points * share / step
+            if up.named:
+                share *= LOWERED
             up = up.parent
 
     for event, item, under in _walk(root):
@@ -253,16 +242,43 @@ def _score(root: Node) -> list[Node]:
         elif item.tag == "br":
             buffer.append(" ")
         elif item.tag not in INLINE:
-            flush(under if event == "open" else item)
+            flush((under if event == "open" else item).block)
     flush(root)
-    return scored
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None and not node.gone:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+            if not node.named:
+                node.parent.prose += node.prose
 
 
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _blocks(top: Node, out: list[str], keep_links: bool) -> None:
+def _rank(node: Node) -> float:
+    return node.points * (1 - _density(node)) * node.weight
+
+
+def _belongs(x: Node, within: Node, best: float) -> bool:
+    """Whether what stands beside the best container or beside one around it is part of the text.
+
+    Names of furniture and mostly linked elements are not. Directly in the
+    page an element needs paragraphs or a score, inside a container any text will do.
+    """
+    if x.gone or x.named or (_density(x) > 0.5 and x.tag not in HEADINGS):
+        return False
+    return within.tag not in PAGE or x.tag in INLINE or x.prose > 0 or _rank(x) >= BELONGS * best
+
+
+def _text(root: Node, best: Node) -> list[str]:
+    """The blocks of the best container and of what belongs to it, in page order."""
+    above, node = set(), best.parent
+    while node is not None:
+        above.add(id(node))
+        node = node.parent
+    score, whole = _rank(best), best.tag not in PAGE
+    out: list[str] = []
     buffer: list[str] = []
 
     def flush() -> None:
@@ -271,69 +287,49 @@ def _blocks(top: Node, out: list[str], keep_links: bool) -> None:
         if words:
             out.append(words)
 
-    todo: list = [iter([top])]
-    path: list[Node | None] = [None]
+    todo = [(root, iter(root.children))]
     while todo:
-        for child in todo[-1]:
+        node, rest = todo[-1]
+        for child in rest:
             if isinstance(child, str):
                 buffer.append(child)
                 continue
-            if child.gone or (not keep_links and child is not top and child.tag in ("ul", "ol", "dl", "div", "section", "table") and _density(child) > 0.5):
-                continue
+            if child is not best and id(child) not in above:
+                if id(node) in above or (node is best and not whole):
+                    if not _belongs(child, node if whole else best, score if whole else 0.0):
+                        continue
+                elif child.gone or child.named:
+                    continue
             if child.tag == "br":
                 buffer.append(" ")
             elif child.tag not in INLINE:
                 flush()
-            todo.append(iter(child.children))
-            path.append(child)
+            todo.append((child, iter(child.children)))
             break
         else:
             todo.pop()
-            node = path.pop()
-            if node is not None and node.tag not in INLINE:
+            if node.tag not in INLINE:
                 flush()
     flush()
+    return out
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the best container and of the siblings that belong to it, joined by blank lines."""
+    """Blocks of the best container and of what belongs to it, joined by blank lines.
+
+    Containers are scored first. Names in a class or id lower a score; they
+    and link density decide only about elements beside or inside the best
+    container, never about one that it stands in, and link density not inside it.
+    """
     if not html:
         return ""
-    root = parse(html)
-    scored = _score(root)
-    if not scored:
-        out: list[str] = []
-        _blocks(root, out, keep_links=False)
-        return "\n\n".join(out)
-    rank = {id(x): x.points * (1 - _density(x)) for x in scored}
-    best = max(scored, key=lambda x: rank[id(x)])
-    inside = [x for x in scored if x.tag in ("article", "main") and rank[id(x)] >= 0.5 * rank[id(best)]]
-    if best.tag in ("body", "html", "#page", "main") and inside:
-        best = max(inside, key=lambda x: (rank[id(x)], x.tag == "article"))
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    best = up or best
-    parts = [best]
-    if best.parent is not None and best.tag not in ("body", "html", "main"):
-        enough = max(3.0, 0.2 * rank.get(id(best), 0.0))
-        parts = []
-        for x in best.parent.children:
-            if isinstance(x, str):
-                continue
-            own = " ".join(_plain(x)) if x.tag == "p" else ""
-            if x is best or (not x.gone and (rank.get(id(x), 0.0) >= enough or (len(own) > 80 and x.linked * 4 <= len(own) and best.tag not in ("article",)))):
-                parts.append(x)
-    out = []
-    for x in parts:
-        _blocks(x, out, keep_links=x is best and x.tag in ("article", "main"))
-    return "\n\n".join(out)
-
-
-def _plain(node: Node) -> list[str]:
-    out: list[str] = []
-    _blocks(node, out, keep_links=True)
-    return out
+    root, nodes = parse(html)
+    _score(root, nodes)
+    best, most = root, 0.0
+    for node in nodes:
+        if not node.gone and node.block is node and (r := _rank(node)) > most:
+            best, most = node, r
+    return "\n\n".join(_text(root, best))
 
 
 def extract(pages: DataFrame) -> DataFrame:
