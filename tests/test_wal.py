@@ -76,3 +76,33 @@ def test_checks_and_hashes():
     assert int(bytesx.fnv1a(["a"])[0]) == 0xAF63DC4C8601EC8C and int(bytesx.fnv1a([""])[0]) == 0xCBF29CE484222325
     assert [bytesx.next_power_of_two(n) for n in (0, 1, 2, 3, 16, 17)] == [1, 1, 2, 4, 16, 32]
     assert bytesx.common_prefix(b"abc", b"abd") == 2
+
+
+def test_writer_rotates_repairs_and_its_log_fills_a_store(spark, tmp_path):
+    from tidelog.sources.store import Store
+
+    folder = str(tmp_path / "wal")
+    w = wal.WalWriter(folder, segment_bytes=300, group=3)
+    want = {}
+    for i in range(40):
+        key, dead = bytes([i % 7, 255]), i % 5 == 4
+        w.append(key, None if dead else bytes([i]), dead, i + 1)
+        want[key] = None if dead else bytes([i])
+    w.close()
+    have = wal.numbers(folder)
+    assert len(have) > 2 and wal.check_segments(folder) == have
+    last = tmp_path / "wal" / f"{have[-1]:06d}.wal"
+    whole = last.read_bytes()
+    last.write_bytes(whole + b"LSMBtorn")
+    again = wal.WalWriter(folder, segment_bytes=300, group=3)
+    assert last.read_bytes() == whole
+    again.append(b"new", b"v", False, 41)
+    again.close()
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.replay(wal.mutations(wal.read_wal(spark, folder)))
+    got = {bytes(r["key"]): bytes(r["value"]) for r in store.scan().collect()}
+    assert got == {k: v for k, v in want.items() if v is not None} | {b"new": b"v"} and store.manifest["wal_seq"] == 41
+    (tmp_path / "wal" / "000002.wal").unlink()
+    with pytest.raises(wal.Missing):
+        wal.check_segments(folder)
+    assert wal.check_segments(folder, "stop") == [1]

@@ -26,6 +26,11 @@ class NodeConfig:
     l0_threshold: int = 0
     consistency: str = "accepted"
     write_requests: int = defaults.WRITE_REQUESTS
+    table_bytes: int = 0
+    control_state: str = ""
+    event_socket: str = ""
+    event_webhook: str = ""
+    log: str = ""
     trash_files: int = defaults.TRASH_FILES
     trash_bytes: int = defaults.TRASH_BYTES
     shards: list[Shard] = field(default_factory=list)

@@ -75,12 +75,11 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 
 def shared_prefix(a, b) -> Column:
-    """Bytes that two strings have in common at their beginning."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([common_prefix((x or "").encode(), (y or "").encode()) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-    return F.pandas_udf(run, "long")(a, b)
+    """Bytes that two strings or binaries have in common at their beginning; none with a null."""
+    x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("binary") for c in (a, b))
+    n = F.least(F.octet_length(x), F.octet_length(y))
+    same = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(x, F.lit(1), i) == F.substring(y, F.lit(1), i))
+    return F.when(n > 0, F.size(same)).otherwise(0).cast("long")
 
 
 def hash_shard(key, shards: int):

@@ -1,50 +1,26 @@
-"""Schemas, defaults and the mutation logs over the driver's tables."""
+"""The mutation logs over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelog.session import ship
 
-MUTATION = T.StructType([
-    T.StructField("key", T.BinaryType(), False),
-    T.StructField("value", T.BinaryType(), True),
-    T.StructField("tombstone", T.BooleanType(), False),
-    T.StructField("seq", T.LongType(), False),
-])
-
-RUN_META = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("level", T.IntegerType(), False),
-    T.StructField("min_key", T.BinaryType(), True),
-    T.StructField("max_key", T.BinaryType(), True),
-    T.StructField("seq_min", T.LongType(), True),
-    T.StructField("seq_max", T.LongType(), True),
-    T.StructField("size_bytes", T.LongType(), True),
-    T.StructField("entry_count", T.LongType(), True),
-])
-
-CDC_EVENT = T.StructType([
-    T.StructField("offset", T.LongType(), False),
-    T.StructField("shard_id", T.StringType(), False),
-    T.StructField("operation", T.StringType(), False),
-    T.StructField("key", T.BinaryType(), False),
-    T.StructField("value", T.BinaryType(), True),
-    T.StructField("tombstone", T.BooleanType(), False),
-    T.StructField("committed_at", T.TimestampType(), True),
-])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutation log M1: one put or delete of a user's key for every event."""
+def event_log(spark: SparkSession, sf_dir: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Mutation log M1: one put or delete of a user's key for every event, of the sequence numbers (after, until].
+
+    The bounds are literals on the stored column, so that they reach the scan.
+    """
     dead = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events")
+    rows = rows if after is None else rows.filter(F.col("event_id") >= after)
+    rows = rows if until is None else rows.filter(F.col("event_id") < until)
+    return rows.select(
         F.format_string("u%06d", "user_id").alias("key"),
         F.when(~dead, F.col("props")).alias("value"),
         dead.alias("tombstone"),

@@ -13,11 +13,12 @@ def events(log: DataFrame, shards: DataFrame | None = None) -> DataFrame:
     """Change events of a log: the offset is the sequence number, the shard that of the key.
 
     Without shards all events belong to one; events without a shard or with
-    offset zero are left out.
+    offset zero are left out. A log with committed_at has it in its events.
     """
     routed = routing.route(log, shards) if shards is not None else log.withColumn("shard_id", F.lit(defaults.DEFAULT_SHARD))
     return routed.filter("shard_id IS NOT NULL AND shard_id <> '' AND seq > 0").select(
-        F.col("seq").alias("offset"), "shard_id", F.when(F.col("tombstone"), "delete").otherwise("put").alias("operation"), "key", "value", "tombstone"
+        F.col("seq").alias("offset"), "shard_id", F.when(F.col("tombstone"), "delete").otherwise("put").alias("operation"), "key", "value", "tombstone",
+        *(["committed_at"] if "committed_at" in log.columns else []),
     )
 
 

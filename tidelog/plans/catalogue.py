@@ -40,10 +40,14 @@ def layout(spark):
     return shards.layout(spark, SHARDS)
 
 
-def with_max(log, divide: int):
-    """The log as a snapshot at a fraction of its highest sequence number sees it; the bound is one broadcast row."""
-    at = log.agg(F.floor(F.max("seq") / divide).cast("long").alias("_at"))
-    return log.crossJoin(F.broadcast(at)).filter("seq <= _at").drop("_at")
+def last_seq(spark, sf) -> int:
+    """The checkpoint of m1, which a store has in its manifest: one number, from the column's statistics."""
+    return m1(spark, sf).agg(F.max("seq")).first()[0] or 0
+
+
+def snapshot_at(spark, sf, divide: int):
+    """m1 as a snapshot at a fraction of its checkpoint sees it; the bound is a literal that the scan gets."""
+    return model.event_log(spark, sf, until=last_seq(spark, sf) // divide)
 
 
 # --- reads
@@ -72,16 +76,16 @@ def get_missing_key(spark, sf):
 
 
 def snapshot_get_asof(spark, sf):
-    return versions.get(with_max(m1(spark, sf), 2), SOME)
+    return versions.get(snapshot_at(spark, sf, 2), SOME)
 
 
 def snapshot_range(spark, sf):
-    return versions.scan(with_max(m1(spark, sf), 2), "u000003", "u000090")
+    return versions.scan(snapshot_at(spark, sf, 2), "u000003", "u000090")
 
 
 def snapshot_diff(spark, sf):
-    old = versions.visible(with_max(m1(spark, sf), 4)).select("key", F.col("seq").alias("old_seq"))
-    new = versions.visible(with_max(m1(spark, sf), 2)).select("key", F.col("seq").alias("new_seq"))
+    old = versions.visible(snapshot_at(spark, sf, 4)).select("key", F.col("seq").alias("old_seq"))
+    new = versions.visible(snapshot_at(spark, sf, 2)).select("key", F.col("seq").alias("new_seq"))
     change = F.when(F.col("old_seq").isNull(), "added").when(F.col("new_seq").isNull(), "removed").otherwise("changed")
     return old.join(new, "key", "full").filter("NOT (old_seq <=> new_seq)").select("key", "old_seq", "new_seq", change.alias("change"))
 
@@ -169,9 +173,10 @@ def run_prune_range(spark, sf):
 
 def pruned_get(spark, sf):
     """A point read that looks only into runs whose key range may hold the key."""
-    rows = runs.by_run(m1(spark, sf), 40)
-    may = runs.prune_key(runs.metadata(rows), KEY).select("path")
-    return versions.get(rows.withColumn("path", runs.path_of(F.col("run"))).join(may, "path", "left_semi"), [KEY]).select("key", "value", "seq", "found")
+    log = m1(spark, sf)
+    may = runs.prune_key(runs.metadata(runs.by_run(log, 1000)), KEY).select("path")
+    own = runs.by_run(log.filter(F.col("key") == KEY), 1000)  # the key's rows alone are ranked
+    return versions.get(own.withColumn("path", runs.path_of(F.col("run"))).join(may, "path", "left_semi"), [KEY]).select("key", "value", "seq", "found")
 
 
 def block_packing(spark, sf):
@@ -193,12 +198,12 @@ def bloom_probe(spark, sf):
 
 
 def prefix_shared(spark, sf):
-    """Bytes that each key of the newest state shares with the one before it in its hundred."""
+    """Bytes that each key of a run shares with the one before it; every RESTART_EVERY-th is whole."""
     from pyspark.sql import Window
 
-    new = versions.newest(m1(spark, sf)).withColumn("part", F.substring("key", 1, 5))
-    w = Window.partitionBy("part").orderBy("key")
-    return new.select("key", bytesx.shared_prefix(F.coalesce(F.lag("key").over(w), F.lit("")), F.col("key")).alias("shared"))
+    w = Window.partitionBy("run").orderBy("key")
+    rows = runs.by_run(m1(spark, sf)).select("run", "key", (F.row_number().over(w) - 1).alias("at"), F.lag("key").over(w).alias("before"))
+    return rows.select("run", "key", F.when(F.col("at") % defaults.RESTART_EVERY == 0, 0).otherwise(bytesx.shared_prefix("before", "key")).cast("long").alias("shared"))
 
 
 # --- compaction
@@ -220,7 +225,7 @@ def level_state(spark, sf):
 
 def overlap_pairs(spark, sf):
     """All pairs of runs whose key ranges meet. Their number grows with the square of the runs where keys are spread evenly."""
-    m = meta(spark, sf, 40)
+    m = meta(spark, sf)
     return m.alias("a").join(m.alias("b"), (F.col("a.path") < F.col("b.path")) & runs.overlaps("a", "b")).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
 
 
@@ -275,9 +280,7 @@ def fallback_scan(spark, sf):
 
 
 def replay_tail(spark, sf):
-    log = m1(spark, sf)
-    at = log.agg((F.max("seq") - F.lit(500)).alias("_at"))
-    return log.crossJoin(F.broadcast(at)).filter("seq > _at").select("seq", "key", "tombstone")
+    return model.event_log(spark, sf, after=last_seq(spark, sf) - 500).select("seq", "key", "tombstone")
 
 
 def wal_segment_gaps(spark, sf):
@@ -515,11 +518,13 @@ ORACLE = {
     "run_prune_key": f"WITH {_runs(40)} SELECT path, min_key, max_key FROM meta WHERE min_key <= '{KEY}' AND max_key >= '{KEY}'",
     "run_prune_range": f"WITH {_runs(40)} SELECT path, min_key, max_key FROM meta WHERE max_key >= 'u000010' AND min_key < 'u000012'",
     "pruned_get": f"WITH {M1} SELECT key, value, seq, NOT tombstone AS found FROM {_newest('m1')} WHERE key = '{KEY}'",
-    "compaction_keep": f"WITH {_runs()} SELECT key, value, tombstone, seq FROM {_newest(f'(SELECT * FROM r WHERE run <= {COMPACTED})')}",
-    "compaction_drop": f"WITH {_runs()} SELECT key, value, tombstone, seq FROM {_newest(f'(SELECT * FROM r WHERE run <= {COMPACTED})')} WHERE NOT tombstone",
-    "compaction_obsolete_versions": f"WITH {_runs()} SELECT key, count(*) - 1 AS obsolete FROM r WHERE run <= {COMPACTED} GROUP BY key HAVING count(*) > 1",
+    "prefix_shared": f"""WITH {_runs()}, o AS (SELECT run, key, row_number() OVER w - 1 AS place, lag(key) OVER w AS prior FROM r WINDOW w AS (PARTITION BY run ORDER BY key))
+      SELECT run, key, CASE WHEN place % 16 = 0 THEN 0 ELSE len(list_filter(range(1, least(length(key), length(prior)) + 1), lambda i : key[:i] = prior[:i])) END::BIGINT AS shared FROM o""",
+    "compaction_keep": f"WITH {_runs()} SELECT key, value, tombstone, seq FROM {_newest('r')}",
+    "compaction_drop": f"WITH {_runs()} SELECT key, value, tombstone, seq FROM {_newest('r')} WHERE NOT tombstone",
+    "compaction_obsolete_versions": f"WITH {_runs()} SELECT key, count(*) - 1 AS obsolete FROM r GROUP BY key HAVING count(*) > 1",
     "level_state": f"WITH {_runs()} SELECT level, count(*) AS runs, sum(size_bytes)::BIGINT AS size_bytes, min(min_key) AS min_key, max(max_key) AS max_key FROM meta GROUP BY level",
-    "overlap_pairs": f"WITH {_runs(40)}, m AS (SELECT * FROM meta WHERE seq_max <= 1200) SELECT a.path AS path_a, b.path AS path_b FROM m a JOIN m b ON a.path < b.path AND a.min_key <= b.max_key AND b.min_key <= a.max_key",
+    "overlap_pairs": f"WITH {_runs()} SELECT a.path AS path_a, b.path AS path_b FROM meta a JOIN meta b ON a.path < b.path AND a.min_key <= b.max_key AND b.min_key <= a.max_key",
     "plan_l0": f"""WITH {_runs()}, l0 AS (SELECT * FROM meta WHERE level = 0) SELECT DISTINCT path, 1 AS output_level FROM (SELECT path FROM l0 UNION ALL SELECT b.path FROM meta b WHERE level = 1
       AND EXISTS (SELECT 1 FROM l0 a WHERE a.min_key <= b.max_key AND b.min_key <= a.max_key)) WHERE (SELECT count(*) FROM l0) >= 4""",
     "plan_level_size": f"WITH {_runs()}, s AS (SELECT level, sum(size_bytes)::BIGINT AS size_bytes FROM meta WHERE level > 0 GROUP BY level) SELECT level, size_bytes, (1000 * pow(10, level - 1))::BIGINT AS \"limit\" FROM s WHERE size_bytes > 1000 * pow(10, level - 1)",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -49,11 +48,11 @@ def filesystem(spark: SparkSession, path: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all machines share, ``spark.checkpoint.dir``; it is removed at exit."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new path below the folder that all machines share, ``spark.checkpoint.dir``; it is removed at exit.
+
+    Where that is unset the folder lies in the session's warehouse, which all machines share as well.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidelog-scratch"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _MADE:
         atexit.register(_clean)

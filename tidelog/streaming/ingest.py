@@ -66,7 +66,7 @@ def stream_ingest_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "store")
     store = Store(spark, f"{root}/store")
     into_store(event_stream(spark, sf_dir), store, f"{root}/offsets").awaitTermination()
-    return store.newest()
+    return store.newest().withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
 
 
 def stream_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
