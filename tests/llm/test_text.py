@@ -74,6 +74,37 @@ def test_piece_ids_are_the_librarys_and_come_back(spark):
         assert own.decode(ids).decode() == t.replace("▁", " ")
 
 
+def test_words_are_cut_where_no_piece_spans():
+    """Any mixture of letters, digits, signs, line ends and runs of spaces has the library's ids; the words are the whole text."""
+    import random
+
+    import sentencepiece
+
+    path = piece_codec.piece_path()
+    own, lib = piece_codec.PieceCodec.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    parts = ["the", "ing", "É", "ñ", "ß", "a", "\n", "\t", "  ", " ", "7", "2024", "...", "!", "'s", "(", "*)", "日", "é.", "|", "%%"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    for t, ids in zip(some, own.encode(some), strict=True):
+        assert "".join(own.cut(t)) == t and ids == np.array(lib.encode(t), dtype="<u4").tobytes()
+    assert piece_codec.marked_words(["▁ab", "bc", "x", "!?", "▁▁"]).findall("  abcx!?\n1a ") == ["  abc", "x", "!?", "\n", "1", "a", " "]
+
+
+def test_both_ways_of_merging_and_forgetting(monkeypatch):
+    """Short and long words merge alike, and what was forgotten is learnt again."""
+    import random
+
+    rng = random.Random(5)
+    c = piece_codec.PieceCodec.load(piece_codec.piece_path())
+    words = ["▁" + "".join(rng.choice("theinrsaou") for _ in range(rng.randint(1, 39))) for _ in range(300)]
+    assert all(c.merged(w) == c._merged_long(w) for w in words)
+    want = c.encode(words)
+    monkeypatch.setattr(piece_codec, "MAX_UNITS", 5)
+    monkeypatch.setattr(piece_codec, "MAX_FITS", 5)
+    few = piece_codec.PieceCodec.load(piece_codec.piece_path())
+    assert [x for k in (0, 100, 50, 200) for x in few.encode(words[k : k + 100])] == [x for k in (0, 100, 50, 200) for x in want[k : k + 100]]
+
+
 def test_unigram_states_are_viterbi():
     import random
 

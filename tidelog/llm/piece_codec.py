@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tidelog.llm._base import read, text_of
 
 MARK = "▁"
-UNIT = re.compile(" +[^ ]*")
-MAX_UNITS = 400_000
+MAX_UNITS = 200_000  # of a generation; two are kept, so frequent words stay and memory is bounded
+MAX_FITS = 1_000_000
+SHORT = 40  # characters up to which merging scans a list
+NEVER = float("-inf")
+ONE = (1,)
 
 
 def piece_path() -> str:
@@ -23,11 +26,52 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def marked_words(pieces) -> re.Pattern:
+    """A pattern of words: marks, then characters that the pieces join with one another.
+
+    Where no piece has two characters side by side, none spans them, so a text
+    may be cut there and both parts have the ids that they have together. What
+    stands alone in all pieces (often digits and line ends) is a word by itself.
+    """
+    group: dict[str, set] = {}
+    for p in pieces:
+        p = p.lstrip(MARK)
+        for a, b in zip(p, p[1:], strict=False):
+            x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                group.update(dict.fromkeys(y, x))
+    joined = sorted("".join(sorted(g)) for g in {id(g): g for g in group.values()}.values())
+    return re.compile(" *(?:" + "".join(f"[{re.escape(g)}]+|" for g in joined) + ".)", re.DOTALL)
+
+
+def _shared(a: str, b: str) -> int:
+    """How many characters two words begin with in common."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+class _Spelled(dict):
+    """Ids of pieces as bytes; a character outside the vocabulary has those of its UTF-8 bytes."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: list[int]):
+        super().__init__((p, i.to_bytes(4, "little")) for p, i in ids.items())
+        self.byte_ids = byte_ids
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = b"".join([self.byte_ids[b].to_bytes(4, "little") for b in piece.encode()])
+        return found
+
+
 class PieceCodec:
     """Ids of texts and texts of ids for a vocabulary of scored pieces.
 
     No piece holds a mark after another character, so a text is the
-    concatenation of its marked words (a run of marks and what follows), which
+    concatenation of its marked words (see ``marked_words``), which
     are encoded alone. The distinct new words of a batch are sorted; walking
     them in order is a depth-first traversal of their trie, and the forward
     states of a prefix serve all words below it.
@@ -43,18 +87,24 @@ class PieceCodec:
         self.id = {p: i for i, p in enumerate(pieces) if i not in skip}
         self.score = {p: scores[i] for p, i in self.id.items()}
         self.byte_ids = byte_ids
-        self.ends: dict[str, set] = {}  # the lengths of the pieces that end in two given characters
+        ends: dict[str, set] = {}
         for p in self.id:
-            self.ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {e: sorted(n, reverse=True) for e, n in self.ends.items()}
+            ends.setdefault(p[-2:], set()).add(len(p))
+        #: The lengths of the pieces that end in two given characters, the longest first; a character stands alone if need be.
+        self.ends = {e: (*sorted(n - {1}, reverse=True), 1) for e, n in ends.items()}
         self.spell = [p.encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.spell[i] = bytes([b])
         for i in skip - set(byte_ids):
             self.spell[i] = b""
         self.spell = [s.replace(MARK.encode(), b" ") if i not in byte_ids else s for i, s in enumerate(self.spell)]
+        self.cut = marked_words(self.id).findall
         self.units: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.old: dict[str, bytes] = {}  # the generation of units before
+        self.raw = _Spelled(self.id, byte_ids)
+        self.fits: dict[str, dict] = {}  # by piece: which pieces it may follow
+        self.known_fits = 0
+        self._forget_fits()
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -69,6 +119,22 @@ class PieceCodec:
 
     def merged(self, word: str) -> list[str]:
         """Greedy merges of one word: the highest score first, the leftmost where scores tie."""
+        if len(word) > SHORT:
+            return self._merged_long(word)
+        parts, score = list(word), self.score.get
+        offers = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while offers and (top := max(offers)) > NEVER:
+            i = offers.index(top)
+            parts[i] += parts.pop(i + 1)
+            del offers[i]
+            if i < len(offers):
+                offers[i] = score(parts[i] + parts[i + 1], NEVER)
+            if i:
+                offers[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+        return parts
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The same with a heap, in time that hardly grows faster than the word."""
         parts, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap: list = []
 
@@ -92,57 +158,78 @@ class PieceCodec:
                 offer(before[i])
         return [p for p in parts if p]
 
+    def _forget_fits(self) -> None:
+        self.fits = {p: {"": True, None: False} for p in self.id}
+        self.known_fits = 0
+
     def _fit(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 300_000:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(a + b) == [a, b]
-        return known
+        """Whether b stays apart from a, the piece before it."""
+        self.known_fits += 1
+        return a + b not in self.score and self.merged(a + b) == [a, b]
 
     def _walk(self, words: list[str]):
         """(word, pieces) of sorted words; states of the prefix shared with the word before are kept."""
+        return self._walk_sums(words) if self.kind == "unigram" else self._walk_merges(words)
+
+    def _walk_sums(self, words: list[str]):
         back: list[int] = [0]  # where the last piece of each prefix begins
         best: list[float] = [0.0]
         was = ""
-        score, ends, fits, unigram = self.score, self.ends, self.fits, self.kind == "unigram"
-        low = min(score.values(), default=0.0) - 10.0
+        score, ends = self.score.get, self.ends.get
+        low = min(self.score.values(), default=0.0) - 10.0  # of a character outside the vocabulary
         for word in words:
-            keep = 0
-            for x, y in zip(was, word, strict=False):
-                if x != y:
-                    break
-                keep += 1
+            keep = _shared(was, word)
             del back[keep + 1 :], best[keep + 1 :]
             for i in range(keep + 1, len(word) + 1):
-                found, top = -1, float("-inf")
-                for n in (*ends.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):
-                    j = i - n
-                    if j < 0:
-                        continue
-                    piece = word[j:i]
-                    s = score.get(piece)
-                    if s is None:
-                        if n > 1:
-                            continue
-                        s = low  # a character outside the vocabulary stands alone
-                    if unigram:
-                        if best[j] + s > top:
-                            found, top = j, best[j] + s
-                    elif back[j] >= 0:
-                        last = word[back[j] : j]
-                        if j == 0 or (fits.get((last, piece)) if (last, piece) in fits else self._fit(last, piece)):
-                            found, top = j, 0.0
-                            break
+                found, top = -1, NEVER
+                for n in ends(word[max(0, i - 2) : i], ONE):
+                    if n <= i:
+                        s = score(word[i - n : i], low if n == 1 else NEVER)
+                        if best[i - n] + s > top:
+                            found, top = i - n, best[i - n] + s
                 back.append(found)
                 best.append(top)
             was = word
             pieces, i = [], len(word)
-            while i > 0 and back[i] >= 0:
+            while i > 0:
                 pieces.append(word[back[i] : i])
                 i = back[i]
-            yield word, pieces[::-1] if i == 0 else self.merged(word)
+            yield word, pieces[::-1]
+
+    def _walk_merges(self, words: list[str]):
+        last: list[str | None] = [""]  # the last piece of each prefix; none where no piece fits
+        was = ""
+        ends, fits = self.ends.get, self.fits
+        for word in words:
+            if self.known_fits > MAX_FITS:
+                self._forget_fits()
+                fits = self.fits
+            del last[_shared(was, word) + 1 :]
+            for i in range(len(last), len(word) + 1):
+                found = None
+                for n in ends(word[i - 2 : i] if i > 1 else word[0], ONE):
+                    if n > i:
+                        continue
+                    piece = word[i - n : i]
+                    after = fits.get(piece)
+                    if after is None:
+                        if n > 1:
+                            continue
+                        after = fits[piece] = {"": True, None: False}  # a character outside the vocabulary stands alone
+                    before = last[i - n]
+                    ok = after.get(before)
+                    if ok is None:
+                        ok = after[before] = self._fit(before, piece)
+                    if ok:
+                        found = piece
+                        break
+                last.append(found)
+            was = word
+            pieces, i = [], len(word)
+            while i and (piece := last[i]) is not None:
+                pieces.append(piece)
+                i -= len(piece)
+            yield word, self.merged(word) if i else pieces[::-1]
 
     def learn(self, units: set[str]) -> None:
         """Encode units that are not known yet. Runs of marks tie in score and are merged directly."""
@@ -153,21 +240,20 @@ class PieceCodec:
         self._store(self._walk(plain))
 
     def _store(self, found) -> None:
+        raw = self.raw.__getitem__
         for word, pieces in found:
-            ids: list[int] = []
-            for p in pieces:
-                i = self.id.get(p)
-                ids.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
-            self.units[word.replace(MARK, " ")] = np.array(ids, dtype="<u4").tobytes()
+            self.units[word.replace(MARK, " ")] = b"".join(map(raw, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        split = [self.cut(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.units) > MAX_UNITS:
-            self.units = {}
+            self.units, self.old = {}, self.units
         fresh = set().union(*split) - self.units.keys()
         if fresh:
-            self.learn(fresh)
+            again = fresh & self.old.keys()
+            self.units.update((u, self.old[u]) for u in again)
+            self.learn(fresh - again)
         get = self.units.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
