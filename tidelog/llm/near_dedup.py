@@ -19,6 +19,7 @@ K = 64  # values of one hash function that a sketch retains
 #: probability 0.75, fewer than 28 do with probability 1e-8.
 SHARED = 28
 FEW = 8  # members of an inverted list that a plain join may pair
+DEALT = 1000  # members of a list that one task of a join takes; the others go to further tasks
 BLOCK_BYTES = 6 << 20  # of sets of a longer list that are compared with as many others in one piece
 ROW_BYTES = 200  # of a member besides its set
 
@@ -104,6 +105,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _by_list(entries: DataFrame, lists: DataFrame, size: str) -> DataFrame:
+    """``entries`` (v, nid and others) joined with their lists' row in ``lists`` (v and others).
+
+    Both carry ``size``, a bound on the list's members. A list of more than
+    DEALT is dealt over several tasks, with a copy of its row for each; all
+    copies together are no more than one in DEALT entries.
+    """
+    parts = F.ceil(F.col(size) / DEALT)
+    dealt = entries.withColumn("part", F.pmod(F.xxhash64("nid"), parts))
+    copies = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copies, ["v", size, "part"]).drop("part")
+
+
 class _Linker:
     """Components of nodes (distinct shingle sets) from the links found so far. New links are between components
     alone, so each round works on what is still apart and not on all links again."""
@@ -139,20 +153,21 @@ class _Linker:
         return entries.join(self.comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
 
     def open_lists(self, entries: DataFrame) -> DataFrame:
-        """Entries (v, nid, n, comp, members, bytes) of the lists whose members are in several components."""
+        """Entries (v, df, nid, n, comp, members, bytes) of the lists whose members are in several components."""
         have = self.with_comp(entries)
         size = F.sum(F.col("n") * 8 + ROW_BYTES)
-        several = have.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), size.alias("bytes")).filter("lo < hi").select("v", "members", "bytes")
-        return materialize(have.join(several, "v").select("v", "nid", "n", "comp", "members", "bytes"), "open")
+        several = have.groupBy("v", "df").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), size.alias("bytes")).filter("lo < hi").select("v", "df", "members", "bytes")
+        return materialize(_by_list(have, several, "df").select("v", "df", "nid", "n", "comp", "members", "bytes"), "open")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(v, nid): for each node the rarest retained values that any partner must share one of.
+    """(v, nid, n, df): for each node the rarest retained values that any partner must share one of.
 
     Two similar texts share at least ``o`` retained values, so in one order of
     all values each has a shared one among all but its last o - 1. In the
     order by frequency those are seldom the values of widespread passages.
     Values that one node alone retains lead that order and link nothing.
+    ``df`` is how many nodes retain the value, kept to deal long lists over tasks.
     """
     entries = nodes.select("nid", "n", F.explode("sketch").alias("v"))
     common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -161,7 +176,7 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     size = F.least("n", F.lit(K))
     w = Window.partitionBy("nid")
     ranked = kept.withColumn("alone", size - F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "v")))
-    return ranked.filter(F.col("rank") + F.col("alone") <= size - o + 1).select("v", "nid", "n")
+    return ranked.filter(F.col("rank") + F.col("alone") <= size - o + 1).select("v", "nid", "n", "df")
 
 
 class _Codes:
@@ -251,11 +266,10 @@ def _long_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
     Blocks are cut by the bytes of the sets, so a task holds two blocks at most.
     """
     many = opened.filter(F.col("members") > FEW)
-    each = many.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("k"))
-    largest = each.groupBy("v").agg(F.max("k").alias("k")).join(each, ["v", "k"]).groupBy("v").agg(F.min("comp").alias("giant"))
-    held = many.join(largest, "v").withColumn("apart", F.col("comp") != F.col("giant"))
-    blocks = held.groupBy("v").agg(F.sum(F.when(F.col("apart"), F.col("n") * 8 + ROW_BYTES)).alias("out"))
-    held = held.join(blocks, "v").withColumn("mb", F.ceil(F.col("bytes") / BLOCK_BYTES)).withColumn("qb", F.ceil(F.col("out") / BLOCK_BYTES))
+    each = many.groupBy("v", "members", "bytes", "comp").agg(F.struct(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + ROW_BYTES).alias("b"), (-F.col("comp")).alias("c")).alias("one"))
+    largest = each.groupBy("v", "members", "bytes").agg(F.max("one").alias("top")).select("v", "members", (-F.col("top.c")).alias("giant"), (F.col("bytes") - F.col("top.b")).alias("out"))
+    held = _by_list(many, largest, "members").withColumn("apart", F.col("comp") != F.col("giant"))
+    held = held.withColumn("mb", F.ceil(F.col("bytes") / BLOCK_BYTES)).withColumn("qb", F.ceil(F.col("out") / BLOCK_BYTES))
     lists = many.groupBy("nid").agg(F.collect_list("v").alias("lists"))  # at most K of them
     h = F.xxhash64("nid", "v")
     up_to = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -270,9 +284,9 @@ def _long_links(opened: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _stars(entries: DataFrame, last: bool = False) -> DataFrame:
     """Pairs of each list's smallest node, or its last one, with its members of other components."""
-    centre = entries.groupBy("v").agg((F.max if last else F.min)("nid").alias("c"))
+    centre = entries.groupBy("v", "df").agg((F.max if last else F.min)("nid").alias("c"))
     comp = entries.select(F.col("nid").alias("c"), F.col("comp").alias("cc")).distinct()
-    near = entries.join(centre.join(comp, "c"), "v").filter("comp <> cc")
+    near = _by_list(entries, centre.join(comp, "c"), "df").filter("comp <> cc")
     return near.select(F.least("nid", "c").alias("a"), F.greatest("nid", "c").alias("b")).distinct()
 
 
@@ -312,7 +326,8 @@ def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
     release(spark)
     entries = materialize(_prefixes(nodes), "entries")
     release(spark)
-    listed = entries.join(entries.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v"), "v").select("v", "nid", "n")
+    shared = entries.groupBy("v", "df").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v", "df")
+    listed = _by_list(entries, shared, "df").select("v", "nid", "n", "df")
     listed = materialize(listed, "listed")
     wanted = nodes.join(listed.select("nid").distinct(), "nid").select("nid", "sig", "first_id")
     linker = _Linker(nodes, materialize(_whole_sets(docs, wanted), "sets"))
