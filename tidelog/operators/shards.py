@@ -37,9 +37,8 @@ def route(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """``rows`` with shard_id and leader; null in a gap between shards.
 
     Layouts are driver-side state. A small one becomes a CASE expression that
-    stays inside the scan's stage. A larger one is joined by its start keys:
-    starts and rows are range-partitioned together and each row takes the last
-    start before it, so no shard count leads to a nested-loop join.
+    stays inside the scan's stage. In a larger one each row searches the sorted
+    start keys, which go to every task; more than a million shards are refused.
     """
     few = shards.orderBy("ord").limit(CASE_LIMIT + 1).collect()
     if len(few) <= CASE_LIMIT:
