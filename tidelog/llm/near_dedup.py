@@ -329,13 +329,19 @@ def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shared = entries.groupBy("v", "df").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v", "df")
     listed = _by_list(entries, shared, "df").select("v", "nid", "n", "df")
     listed = materialize(listed, "listed")
+    release(spark)
     wanted = nodes.join(listed.select("nid").distinct(), "nid").select("nid", "sig", "first_id")
     linker = _Linker(nodes, materialize(_whole_sets(docs, wanted), "sets"))
     release(spark)
+    # what a round leaves is in tables, so its shuffle files go before the next one
     linker.add(_stars(listed.withColumn("comp", F.col("nid"))))
+    release(spark)
     linker.add(_stars(linker.open_lists(listed), last=True))
+    release(spark)
     linker.add(_short_pairs(linker.open_lists(listed)))
+    release(spark)
     linker.take(materialize(_long_links(linker.open_lists(listed), linker.sets), "links"))
+    release(spark)
     least = linker.comps.join(nodes.select("nid", "first_id"), "nid").groupBy("comp").agg(F.min("first_id").alias("least"))
     named = nodes.join(linker.comps, "nid", "left").join(least, "comp", "left").select(F.col("sig").alias("node"), F.coalesce("least", "first_id").alias("component"))
     named = materialize(named, "named")
