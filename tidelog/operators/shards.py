@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,20 +46,21 @@ def route(rows: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def route_by_search(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """As ``route``, for many shards: a binary search over the broadcast start keys, at most a few MB."""
+    """As ``route``, for many shards: a binary search over the start keys, a batch of rows at a time. They go to every task, at most some tens of MB."""
     known = [(r["start_key"], r["end_key"], r["id"], r["leader"]) for r in shards.orderBy("start_key").collect()]
     if len(known) > 1_000_000:
         raise ValueError("a layout of more than a million shards")
-    starts = [k[0] for k in known]
+    columns = [np.array([k[i] for k in known], dtype=object) for i in range(4)]
 
     @F.pandas_udf("struct<shard_id:string,leader:string>")
     def find(key: pd.Series) -> pd.DataFrame:
-        out = []
-        for k in key:
-            i = bisect.bisect_right(starts, k) - 1
-            hit = i >= 0 and (not known[i][1] or k < known[i][1])
-            out.append(known[i][2:] if hit else (None, None))
-        return pd.DataFrame(out, columns=["shard_id", "leader"])
+        starts, ends, ids, leaders = columns
+        if not len(starts):
+            return pd.DataFrame({"shard_id": [None] * len(key), "leader": [None] * len(key)})
+        plain = key.fillna("").to_numpy(dtype=object)
+        at = np.searchsorted(starts, plain, side="right") - 1  # -1 is below the first start and looks at the last shard, but is no hit
+        hit = (at >= 0) & key.notna().to_numpy() & ((ends[at] == "") | (plain < ends[at]))
+        return pd.DataFrame({"shard_id": np.where(hit, ids[at], None), "leader": np.where(hit, leaders[at], None)})
 
     return rows.withColumn("_r", find("key")).withColumn("shard_id", F.col("_r.shard_id")).withColumn("leader", F.col("_r.leader")).drop("_r")
 
