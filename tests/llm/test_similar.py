@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -60,6 +61,33 @@ def test_fingerprint_edge_cases(spark):
     assert fingerprints.neighbours(many, cells=40).select("doc_id").distinct().count() == 300
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [-3, 0, 7], [-(2**63), -1, 0, 1, 2**63 - 1], list(range(-50, 51, 5))])
+def test_cells_are_found_by_search(spark, cuts):
+    keys = sorted({-(2**63), 2**63 - 1, *range(-60, 60), *(c + d for c in cuts for d in (-1, 0, 1) if -(2**63) <= c + d < 2**63)})
+    rows = spark.createDataFrame([(k,) for k in keys], "key long").withColumn("cell", fingerprints.cell_of("key", cuts))
+    assert {r["key"]: r["cell"] for r in rows.collect()} == {k: int(np.searchsorted(np.array(cuts, dtype=np.int64), np.int64(k), side="right")) for k in keys}
+
+
+def test_texts_are_dealt_without_python(spark):
+    plan = fingerprints.neighbours(_base.read(spark, SF, "documents"), cells=5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def peak_mb(work):
+    work()  # what is kept for later calls does not count
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_fingerprints_of_many_texts_in_little_memory():
+    texts = [" ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(800)) for i in range(900)]  # 4 MB
+    assert peak_mb(lambda: fingerprints._pairs(list(enumerate(texts)))) < 40
+
+
 def brute_components(rows):
     sets = [(d, shingles(t)) for d, t in rows]
     holders = defaultdict(list)

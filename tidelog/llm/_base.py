@@ -155,8 +155,8 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
     return out, np.concatenate(([0], np.cumsum(np.where(n >= width, n - width + 1, n > 0))))
 
 
-def slices(texts: list[bytes], limit: int = 4 << 20):
-    """(first, last) ranges of texts of about ``limit`` bytes together; a longer text stands alone."""
+def slices(texts: list[bytes], limit: int = 1 << 19):
+    """(first, last) ranges of texts of about ``limit`` bytes together; a longer text stands alone. Hashing takes many times their bytes."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         if i > first and size + len(t) > limit:

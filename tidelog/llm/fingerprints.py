@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm._base import mix, read, shingle_hashes, slices, text_of
@@ -85,7 +84,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(texts: list[bytes]):
-    for i, j in slices(texts, 2 << 20):
+    for i, j in slices(texts):
         for k in range(i, j, 1000):
             yield k, min(k + 1000, j)
 
@@ -135,6 +134,19 @@ def _run(batches):
     # every cell ends in a guard row, so nothing is held back here
 
 
+def cell_of(key: str, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above the key: a binary search without Python, so that no worker runs and no texts wait while they are dealt."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= F.col(key)), at + step).otherwise(at),
+    )
+
+
 def neighbours(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are.
 
@@ -154,19 +166,15 @@ def neighbours(docs: DataFrame, cells: int | None = None) -> DataFrame:
     n = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(1, n)]
     cut = rows.agg(F.percentile_approx("key", shares, 20 * n).alias("c")).first()["c"] if n > 1 else []
-    cuts = np.array(sorted(set(cut or [])), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def cell_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+    cuts = sorted(set(cut or []))
 
     # one number for each cell, at most n of them
-    heads = sorted((r["cell"], r["key"]) for r in rows.select("key").withColumn("cell", cell_of("key")).groupBy("cell").agg(F.max("key").alias("key")).collect())
+    heads = sorted((r["cell"], r["key"]) for r in rows.select("key").withColumn("cell", cell_of("key", cuts)).groupBy("cell").agg(F.max("key").alias("key")).collect())
     guards = [(heads[i - 1][1], heads[i][0]) for i in range(1, len(heads))] + ([(heads[-1][1], heads[0][0])] if heads else [])
     guard = spark.createDataFrame(guards, "key long, cell int").groupBy("key").agg(F.collect_list("cell").alias("ahead"))
     dealt = (
         rows.join(F.broadcast(guard), "key", "left")
-        .withColumn("at", F.explode(F.concat(F.array(F.struct(cell_of("key").alias("cell"), F.lit(0).alias("guard"))), F.transform(F.coalesce("ahead", F.array().cast("array<int>")), lambda c: F.struct(c.alias("cell"), F.lit(1).alias("guard"))))))
+        .withColumn("at", F.explode(F.concat(F.array(F.struct(cell_of("key", cuts).alias("cell"), F.lit(0).alias("guard"))), F.transform(F.coalesce("ahead", F.array().cast("array<int>")), lambda c: F.struct(c.alias("cell"), F.lit(1).alias("guard"))))))
         .select("at.cell", "at.guard", "doc_id", "text", "key", "tie")
     )
     # the first of several rows of one doc_id is the guard: all of them are sent, the hash orders them
