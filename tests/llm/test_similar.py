@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from tests.conftest import SF, SF_LARGER
+from tests.conftest import ROOT, SF, SF_LARGER
 from tidelog.llm import _base, fingerprints, near_dedup, repeats
 
 SIMPLE = "doc_id long, text string"
@@ -88,6 +90,30 @@ def test_fingerprints_of_many_texts_in_little_memory():
     assert peak_mb(lambda: fingerprints._pairs(list(enumerate(texts)))) < 40
 
 
+def test_sets_of_many_texts_in_little_memory():
+    texts = [" ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(800)).encode() for i in range(900)]  # 4 MB
+    assert peak_mb(lambda: near_dedup.shingle_sets(texts)) < 40
+
+
+def test_a_task_gives_its_memory_back():
+    """In a process of its own: what is freed lies below a block that stays."""
+    code = """if True:
+        from tidelog.llm import _base
+        def resident():
+            return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+        kept = []
+        def run(batches):
+            blocks = [bytearray(100_000) for _ in range(1000)]
+            kept.append(blocks[-1])
+            yield from batches
+        _base.give_back()
+        before = resident()
+        assert list(_base.lean(run)([1, 2])) == [1, 2]
+        assert resident() - before < 20, (before, resident())
+    """
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, timeout=60)
+
+
 def brute_components(rows):
     sets = [(d, shingles(t)) for d, t in rows]
     holders = defaultdict(list)

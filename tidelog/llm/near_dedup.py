@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidelog.llm._base import binary_texts, materialize, read, release, shielded, shingle_hashes, slices, text_of
+from tidelog.llm._base import binary_texts, lean, materialize, read, release, shielded, shingle_hashes, slices, text_of
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -53,7 +53,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "sig", "sketch"],
                 )
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
+    return text_of(docs).mapInArrow(lean(run), "doc_id long, n long, sig binary, sketch array<long>")
 
 
 def _similar(shared: int, a: int, b: int) -> bool:
@@ -115,9 +115,9 @@ class _Linker:
         """Filter candidate pairs (a, b) by sketches, verify them on whole sets and update the components."""
         n = self.nodes.select("nid", "n", "sketch")
         joined = pairs.join(n.toDF("a", "na", "sa"), "a").join(n.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        likely = joined.mapInArrow(_sketch_filter, "a long, b long, na long, nb long").select("a", "b")
+        likely = joined.mapInArrow(lean(_sketch_filter), "a long, b long, na long, nb long").select("a", "b")
         whole = likely.join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        self.take(materialize(whole.mapInArrow(_verify, "a long, b long"), "links"))
+        self.take(materialize(whole.mapInArrow(lean(_verify), "a long, b long"), "links"))
 
     def take(self, found: DataFrame) -> None:
         """Take up confirmed links."""
@@ -341,7 +341,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingle_sets(raw[i : i + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(map(signature, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "set"])
 
-    sets = some.select("text").mapInArrow(run, "sig binary, set binary").dropDuplicates(["sig"])
+    sets = some.select("text").mapInArrow(lean(run), "sig binary, set binary").dropDuplicates(["sig"])
     return sets.join(wanted.select("nid", "sig"), "sig").select("nid", "set")
 
 
@@ -356,7 +356,7 @@ def _signed(docs: DataFrame, at: int) -> DataFrame:
                 sets = shingle_sets(binary_texts(some.column(at)))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(signature, sets), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n", LongType()), StructField("sig", BinaryType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("n", LongType()), StructField("sig", BinaryType())]))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
