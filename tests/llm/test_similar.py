@@ -340,6 +340,13 @@ def test_remove_repeats_rows(spark):
     assert odd.columns == [*clash, "removed_spans_"] and sorted(tuple(r)[:-1] for r in odd.select("id", "c0", "tie", "text", "removed_spans_").collect() if r["text"] is not None) == sorted((k, k, k, t) for k, t in got.items() if t is not None)
 
 
+def test_repeats_are_told_before_the_last_job(spark):
+    """The steps have run and given their memory back when texts are cut; one Python step is left."""
+    passage = "A passage of more than fifty bytes that two of them have."
+    out = repeats.digest(spark.createDataFrame([(1, passage), (2, "x" + passage)], SIMPLE))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 # --- pipeline
 
 

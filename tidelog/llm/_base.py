@@ -61,7 +61,13 @@ def labels(spark: SparkSession, n: int) -> list[int]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now rather than when the driver's heap fills."""
+    """Let Spark remove the shuffle files of finished steps now rather than when the driver's heap fills, and executors
+    return the heap that these steps needed, which they otherwise keep at its largest size.
+
+    The executors' part comes first: the driver holds the last plan, and so its shuffle files, until another has run.
+    """
+    n = spark.sparkContext.defaultParallelism  # a task for each core, so that every executor has one
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

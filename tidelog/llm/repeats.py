@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._base import BYTE_CODE, binary_texts, free_name, frugal, labels, mix, powers, read, shielded, slices
+from tidelog.llm._base import BYTE_CODE, binary_texts, free_name, frugal, labels, lean, materialize, mix, powers, read, release, shielded, slices
 
 LENGTH = 50
 GRAM = 20
@@ -656,21 +656,25 @@ def keyed(plain: DataFrame, doc_id: str, text: str) -> DataFrame:
 def repeat_spans(base: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, spans: for each doc_id with repeats (tie, blob of (begin, end) byte ranges to remove).
 
-    ``base`` is from ``keyed``. The one wide exchange is that of its rows by
-    id, which a join of the result with ``base`` uses again; the rest
+    ``base`` is from ``keyed``. Each step's result is written, its shuffle
+    files are dropped and memory is given back before the next. The one wide
+    exchange of the steps is that of the texts with shared anchors; the rest
     are compressed blobs of hashes and of snippets.
     """
     spark = frugal(base.sparkSession)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     deal = _Deal(labels(spark, parts), -(-size // BUCKET))
-    told = _dealt(base.select("id", "text").mapInArrow(_anchor_blobs(deal, length), BLOB), deal).mapInArrow(_shared_anchors(deal), BLOB)
-    told = _dealt(told, deal).mapInArrow(_flags, BLOB)
-    flags = told.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("flags"))
-    marked = base.join(flags, "id")  # with all columns, or the exchange of ``base`` could not be used again
-    solved = _dealt(marked.mapInArrow(_snippet_blobs(deal, length), BLOB), deal).mapInArrow(_solve(deal, length), BLOB)
-    solved = _dealt(solved, deal).mapInArrow(_spans, BLOB)
-    return solved.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tie", "blob")).alias("spans"))
+    told = _dealt(base.select("id", "text").mapInArrow(lean(_anchor_blobs(deal, length)), BLOB), deal).mapInArrow(lean(_shared_anchors(deal)), BLOB)
+    told = _dealt(told, deal).mapInArrow(lean(_flags), BLOB)
+    flags = materialize(told.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("flags")), "flags")
+    release(spark)
+    marked = base.select("id", "tie", "text").join(flags, "id")
+    solved = _dealt(marked.mapInArrow(lean(_snippet_blobs(deal, length)), BLOB), deal).mapInArrow(lean(_solve(deal, length)), BLOB)
+    solved = _dealt(solved, deal).mapInArrow(lean(_spans), BLOB)
+    spans = materialize(solved.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tie", "blob")).alias("spans")), "spans")
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -705,7 +709,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=[*columns, "removed"])
 
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    out = joined.mapInArrow(run, T.StructType([*joined.schema.fields[: len(names)], T.StructField("removed", span)]))
+    out = joined.mapInArrow(lean(run), T.StructType([*joined.schema.fields[: len(names)], T.StructField("removed", span)]))
     return out.toDF(*names, free_name("removed_spans", names))
 
 
@@ -745,7 +749,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
