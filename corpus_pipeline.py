@@ -7,11 +7,25 @@ sequences. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import _base, exact_dedup, language_id, near_dedup, packing, repeats
 
 
+def _rested(stage):
+    """``stage``, begun when executors have given back what the stages before it needed."""
+
+    @wraps(stage)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _base.release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return inner
+
+
+@_rested
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some learned language is near to (operator 9).
 
@@ -22,6 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.accepted(docs, language_id.fit(language_id.training(docs)))
 
 
+@_rested
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each distinct text, that with the smallest doc_id (operator 1).
 
@@ -33,6 +48,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+@_rested
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each group of near duplicates, that with the smallest doc_id (operator 7).
 
@@ -43,6 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.near_dedup(docs)
 
 
+@_rested
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 50 bytes or more that an earlier one has (operator 10).
 
@@ -54,6 +71,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
+@_rested
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 (operator 6).
 

@@ -350,6 +350,22 @@ def test_repeats_are_told_before_the_last_job(spark):
 # --- pipeline
 
 
+def _collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_stages_begin_with_little_memory(spark):
+    """Executors collect their heaps as well as the driver before each stage; here all are one process."""
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], _base.read(spark, SF, "documents").schema)
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        before = _collections(spark)
+        stage(spark, empty, SF)
+        assert _collections(spark) >= before + 2, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

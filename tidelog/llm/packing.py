@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm._base import materialize, read, text_of
+from tidelog.llm._base import lean, materialize, read, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             yield batch(rows)
         yield batch([(*p, part, k, None, None, i) for k, mates in sorted(opened.items()) for i, p in enumerate(mates)])
 
-    return text_of(docs).mapInArrow(run, PIECE)
+    return text_of(docs).mapInArrow(lean(run), PIECE)
 
 
 def _fit(capacity: int):
