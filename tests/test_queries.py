@@ -83,6 +83,18 @@ def test_snapshot_bounds_reach_the_scan(spark):
         assert "PushedFilters: [IsNotNull(event_id), " in plan, plan
 
 
+def test_change_flags_without_a_window(spark, same):
+    """Equal offsets count one by one as in SQL, in more shards than an aggregate holds before it sorts (128); no shard is brought together."""
+    from tidelog.operators import cdc
+
+    ev = spark.range(0, 8000, 1, 4).selectExpr("id DIV 600 + id % 200 + 1 AS offset", "concat('s', id % 200) AS shard_id")
+    sql = "WITH ev AS (SELECT id // 600 + id % 200 + 1 AS \"offset\", 's' || id % 200 AS shard_id FROM range(8000) r(id)), {} SELECT shard_id, {} FROM f"
+    for after, limit in ((14, 5), (14, 100), (0, 1)):
+        same(cdc.flags(ev, after, limit), sql.format(catalogue._flags("ev", after, limit), catalogue._FLAG_COLUMNS.format(after=after)))
+    plan = catalogue.cdc_empty_shard(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan, plan
+
+
 def test_overlap_pairs_of_all_runs(spark):
     runs = catalogue.meta(spark, SF_LARGER).select("path", "min_key", "max_key").collect()
     want = {(a[0], b[0]) for a in runs for b in runs if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from tidelog import defaults
 from tidelog.operators import shards as routing
@@ -41,13 +42,13 @@ def flags(retained: DataFrame, after: int, limit: int = 0, shards: DataFrame | N
     """What a reader of each shard at ``after`` is told: next and oldest offset, and whether events were dropped before.
 
     A known shard without events gives an empty page whose next offset is the
-    reader's own.
+    reader's own. Each task keeps a page of the lowest new offsets of a shard
+    and no more, so a shard of any size is neither sorted nor brought together.
     """
     n = page_limit(limit)
-    w = Window.partitionBy("shard_id").orderBy("offset")
-    seen = retained.withColumn("_new", (F.col("offset") > after).cast("int")).withColumn("_place", F.sum("_new").over(w))
-    in_page = (F.col("_new") == 1) & (F.col("_place") <= n)
-    by = seen.groupBy("shard_id").agg(F.max(F.when(in_page, F.col("offset"))).alias("last"), F.min("offset").alias("oldest"), F.sum(in_page.cast("long")).alias("events"))
+    first = InternalFunction.collect_top_k(F.when(F.col("offset") > after, F.col("offset")), n, True)  # the n least, equal ones too, without nulls
+    by = retained.groupBy("shard_id").agg(first.alias("_page"), F.min("offset").alias("oldest"))
+    by = by.select("shard_id", F.array_max("_page").alias("last"), "oldest", F.size("_page").alias("events"))
     if shards is not None:
         by = shards.select(F.col("id").alias("shard_id")).join(by, "shard_id", "left")
     oldest = F.coalesce("oldest", F.lit(0)).cast("long")
